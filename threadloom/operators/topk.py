@@ -22,11 +22,11 @@ def topk(queries: DataFrame, targets: DataFrame, k: int, query_blocks: int = 4,
     """
     q = queries.where("vec is not null").select(
         F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(target_blocks - 1))).cast("long").alias("tb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(target_blocks - 1).cast("long"))).alias("tb"),
     )
     t = targets.where("vec is not null").select(
         F.col("id").alias("target_id"), F.col("vec").alias("tv"), F.pmod(F.xxhash64("id"), F.lit(target_blocks)).alias("tb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"),
     )
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -54,7 +54,7 @@ def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOP_SQL = f"""
-WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, x -> x::DOUBLE) AS vec FROM embeddings),
+WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
 p AS (SELECT a.id AS query_id, b.id AS target_id, a.label AS ql, b.label AS tl,
              list_cosine_similarity(a.vec, b.vec) AS cosine, list_inner_product(a.vec, b.vec) AS dot, list_distance(a.vec, b.vec) AS euclidean
       FROM v a JOIN v b ON a.id <> b.id),
@@ -69,7 +69,7 @@ ORACLE = {
         SELECT ql AS label, count(*) AS n_queries, round(avg(CASE WHEN g <= 1 THEN 1.0 ELSE 0.0 END), 6) AS p_at_1,
                round(avg(CASE WHEN g <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_3, round(avg(CASE WHEN g <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5,
                round(avg(coalesce(1.0::DOUBLE / g, 0.0)), 6) AS mrr FROM h GROUP BY ql""",
-    "vec_normalize": """WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS vec FROM embeddings),
-        n AS (SELECT vec_id, vec, sqrt(list_sum(list_transform(vec, x -> x * x))) AS norm FROM v)
-        SELECT vec_id, round(norm, 6) AS norm, round(CASE WHEN norm > 0 THEN sqrt(list_sum(list_transform(vec, x -> (x / norm) * (x / norm)))) ELSE 0.0 END, 6) AS unit_norm FROM n""",
+    "vec_normalize": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
+        n AS (SELECT vec_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS norm FROM v)
+        SELECT vec_id, round(norm, 6) AS norm, round(CASE WHEN norm > 0 THEN sqrt(list_sum(list_transform(vec, lambda x: (x / norm) * (x / norm)))) ELSE 0.0 END, 6) AS unit_norm FROM n""",
 }
