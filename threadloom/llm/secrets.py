@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import shared_dir, text_of
+from threadloom.llm.common import checked_broadcast, shared_dir, text_of
 
 # Kinds in their sort order, with the literals (lower case) of which one must occur, the pattern,
 # the group that is measured and its least length.
@@ -116,10 +116,10 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """docs with every span of their text replaced by ``[kind]``; overlapping spans are replaced as one, named after the first.
 
-    Columns stay; a null text stays null. The findings meet the texts by content, so equal texts are redacted once found.
+    Columns stay; a null text stays null. Findings meet texts by content; texts are shuffled only if there are too many findings to broadcast.
     """
     path = ledger_path or f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
-    hits = update_ledger(docs, path).where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("spans"))
+    hits = checked_broadcast(update_ledger(docs, path).where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("spans")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     addressed = docs.select(row.alias("_row"), F.sha2(text_of(), 256).alias("blob_id")).join(hits, "blob_id", "left")
     text = F.col("_row.text")
