@@ -136,12 +136,9 @@ def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that pass, with all their columns. Statistics are computed again rather than joined back, so that texts
-    are not shuffled unless there are more sources than a broadcast may hold."""
-    stats = materialise(rule_stats(docs, ["lang", "source"]), "quality-stats")
-    limits = materialise(thresholds(stats, min_group), "quality-limits").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "limits")
-    own = docs.withColumn("_row", F.struct(*docs.columns))
-    judged = rule_stats(own, ["_row"]).withColumns({"lang": F.col("_row.lang"), "source": F.col("_row.source")})
-    over = F.exists(F.array(*rule_values()), lambda r: F.coalesce(r["value"] > F.col("limits")[r["rule"]], F.lit(False)))
-    kept = judged.join(checked_broadcast(limits), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").where(~F.col("base_failed") & ~over)
-    return kept.select("_row.*")
+    """The documents that pass, with all their columns. The statistics are written beside the rows once, since counting again
+    costs far more than reading; texts are not shuffled unless there are more sources than a broadcast may hold."""
+    rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    stats = materialise(rule_stats(rows, ["_row"]), "quality-rows").withColumns({"lang": F.col("_row.lang"), "source": F.col("_row.source")})
+    limits = materialise(thresholds(stats.drop("_row"), min_group), "quality-limits")
+    return judge(stats, checked_broadcast(limits)).where("kept").select("_row.*")
