@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +29,22 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers once per application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        root, path = Path(__file__).parent, f"{tempfile.mkdtemp()}/{Path(__file__).parent.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as made:
+            for file in sorted(root.rglob("*.py")):
+                made.write(file, file.relative_to(root.parent))
+        spark.sparkContext.addPyFile(path)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables of a data folder, by any path Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
