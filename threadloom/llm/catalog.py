@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from threadloom.llm import leak_queries, native_queries, near_queries, page_queries, suffix_queries, token_queries
+from threadloom.llm import label_queries, leak_queries, native_queries, near_queries, page_queries, suffix_queries, token_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (leak_queries, native_queries, near_queries, page_queries, suffix_queries, token_queries):
+for _module in (label_queries, leak_queries, native_queries, near_queries, page_queries, suffix_queries, token_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import ship
+
 WORD = re.compile(r"[^\W_]+")
 GRAM, SIMILARITY, CHUNK_WORDS = 3, 0.8, 500_000
 SCORE = 1 << 40
@@ -196,6 +198,7 @@ def _document_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
 
 
 def prepared(docs: DataFrame, items: DataFrame) -> Iterator[Seeds]:
+    ship(docs.sparkSession)
     for seeds in chunks(items):
         seeds.choose(_document_counts(docs, seeds))
         yield seeds

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from threadloom.session import ship
+
 TRAINING_PAGES, SEED, EPOCHS = 300, 7, 40
 # Elements that break lines, elements without content, elements whose content is no markup.
 BLOCK_TAGS = frozenset(
@@ -263,4 +265,5 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
             texts = pa.array([model.text(x.as_py()) for x in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from threadloom.llm.tokens import encoder
+from threadloom.session import ship
 
 WINDOW, END_ID, BLOCK = 2048, 1, 1 << 18
 SENTENCE_COST, PLAIN_COST, PLAIN_STEP = 2.0, 10.0, 8
@@ -159,4 +160,5 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
         if rows := packer.flush(last=True):
             yield out(rows)
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

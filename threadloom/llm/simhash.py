@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from threadloom.llm.common import materialise
 from threadloom.llm.components import components
+from threadloom.session import ship
 
 RADIUS, SHINGLE, HOT = 3, 3, 64
 FINGERPRINT = "_fingerprint"
@@ -69,6 +70,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             signed = pa.array([x - (1 << 64) if x >> 63 else x for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, signed], names=[*batch.schema.names, FINGERPRINT])
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(FINGERPRINT, T.LongType())]))
 
 

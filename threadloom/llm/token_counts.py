@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialise
 from threadloom.llm.tokens import encoder
+from threadloom.session import ship
 
 SEPARATOR, BLOCK_IDS = 50256, 1 << 16
 BLOCKS = "file long, block long, payload binary, doc_ids array<bigint>"
@@ -67,6 +68,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, separator:
                     yield from out(False)
         yield from out(True)
 
+    ship(docs.sparkSession)
     return materialise(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "token-files")
 
 
@@ -95,6 +97,7 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, *numbers], names=[*names, "n_ids", "n_seps", "last", "lengths"])
 
+    ship(blocks.sparkSession)
     return blocks.mapInArrow(run, schema)
 
 
