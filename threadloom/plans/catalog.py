@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import evaluation, texts, vectors
+from threadloom.plans import evaluation, graphs, retrieval, texts, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (evaluation, texts, vectors):
+for _module in (evaluation, graphs, retrieval, texts, vectors):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
