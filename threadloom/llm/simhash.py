@@ -181,5 +181,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component, that of its least doc_id, with all columns; fingerprints are computed again rather than stored with texts."""
     rows = materialise(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.col(FINGERPRINT).alias("fp")), "fingerprints")
     winners = fp_components(rows).where("fp = winner_fp").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"))
-    kept = with_fingerprint(docs).join(winners, (F.col(FINGERPRINT) == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_fp", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    marked = with_fingerprint(whole).select("_row", F.col("_row.doc_id").alias("doc_id"), FINGERPRINT)
+    kept = marked.join(winners, (F.col(FINGERPRINT) == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_fp", "_id"]).select("_row.*")
