@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
+from threadloom.session import scratch
 
 
 def nodes_of(triples: DataFrame) -> DataFrame:
@@ -38,13 +39,12 @@ def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
 def reach(seeds: DataFrame, edges: DataFrame, most_sweeps: int = 50, folder: str | None = None) -> DataFrame:
     """Nodes reachable from seeds(node) over edges(src, dst), with their distance. Each sweep joins only the last frontier.
 
-    With a folder, every sweep is written there and read again, so lineage doesn't grow with the sweeps.
+    Every sweep is written to a shared folder and read again, so lineage doesn't grow with the sweeps and a lost executor costs one.
     """
     spark = seeds.sparkSession
+    folder = folder or scratch(spark)
 
     def cut(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df
         path = f"{folder}/reach-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import graph, sampling
+from threadloom.operators import explain, graph, sampling
 from threadloom.session import table
 
 
@@ -109,10 +109,8 @@ def rbo_jaccard_tau(spark, sf_dir):
     r = e.withColumns({"ra": F.row_number().over(a), "rb": F.row_number().over(b)}).where("ra <= 5 or rb <= 5")
     pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= 5, F.struct(F.col(c).alias("r"), F.col("event_id").alias("i"))))), lambda x: x["i"])
     lists = r.groupBy("user_id").agg(pick("ra").alias("a"), pick("rb").alias("b"))
-    p = 0.8
-    depth = F.sequence(F.lit(1), F.least(F.lit(5), F.greatest(F.size("a"), F.size("b"))))
-    agree = F.aggregate(depth, F.lit(0.0), lambda s, d: s + F.pow(F.lit(p), d - 1) * F.size(F.array_intersect(F.slice("a", 1, d), F.slice("b", 1, d))) / d)
-    return lists.select("user_id", F.round((1 - p) * agree, 6).alias("rbo"), F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    a, b = F.col("a"), F.col("b")
+    return lists.select("user_id", F.round(explain.rbo(a, b, 5, 0.8), 6).alias("rbo"), F.round(X.jaccard(a, b), 6).alias("jaccard"), F.round(explain.tau_b(a, b, 5), 6).alias("tau"))
 
 
 _T = "WITH t AS (SELECT event_id AS seq, 'User ' || (user_id % 50) AS subject, event_type AS object, strftime(ts, '%Y-%m-%d') AS context FROM events)"
@@ -148,5 +146,8 @@ ORACLE = {
     "stream_resume": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "rbo_jaccard_tau": """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS ra, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 50), event_id) AS rb FROM events),
         l AS (SELECT user_id, list(event_id ORDER BY ra) FILTER (ra <= 5) AS a, list(event_id ORDER BY rb) FILTER (rb <= 5) AS b FROM r GROUP BY user_id)
-        SELECT user_id, round(0.2 * list_sum(list_transform(range(1, least(5, greatest(len(a), len(b))) + 1), lambda d: pow(0.8, d - 1) * len(list_intersect(a[1:d], b[1:d])) / d)), 6) AS rbo, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS jaccard FROM l""",
+        , n AS (SELECT *, least(5, len(a), len(b)) AS n, list_distinct(a || b) AS u FROM l),
+        p AS (SELECT user_id, coalesce(list_position(a, i), 6) AS p, coalesce(list_position(b, i), 6) AS q FROM (SELECT user_id, a, b, unnest(u) AS i FROM n)),
+        t AS (SELECT x.user_id, sum(sign(x.p - y.p) * sign(x.q - y.q)) / sqrt(sum(abs(sign(x.p - y.p)))::DOUBLE * sum(abs(sign(x.q - y.q)))) AS tau FROM p x JOIN p y ON x.user_id = y.user_id GROUP BY x.user_id)
+        SELECT user_id, round(list_sum(list_transform(range(1, n + 1), lambda d: pow(0.8, d - 1) * len(list_intersect(a[1:d], b[1:d])) / d)) * 0.2 / (1 - pow(0.8, n)), 6) AS rbo, round(len(list_intersect(a, b)) / len(u), 6) AS jaccard, round(tau, 6) AS tau FROM n JOIN t USING (user_id)""",
 }

@@ -29,6 +29,17 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a temporary one only for a single local process without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="threadloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 _SHIPPED: set[str] = set()
 
 
