@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import evaluation, explanations, graphs, inference, retrieval, texts, units, vectors
+from threadloom.plans import evaluation, explanations, graphs, inference, retrieval, sets, texts, units, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (evaluation, explanations, graphs, inference, retrieval, texts, units, vectors):
+for _module in (evaluation, explanations, graphs, inference, retrieval, sets, texts, units, vectors):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
