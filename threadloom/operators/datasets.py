@@ -62,7 +62,7 @@ def pairs_with_negatives(queries: DataFrame, vocabulary: DataFrame, n: int, seed
 def parse_labels(x: Column) -> Column:
     """Labels from a list's printed form or from a comma-separated text."""
     listed = F.from_json(F.translate(x, "'", '"'), "array<string>")
-    split = F.filter(F.transform(F.split(x, ","), F.trim), lambda v: v != "")
+    split = F.filter(F.transform(F.split(x, ","), lambda v: F.trim(v)), lambda v: v != "")
     return F.when(F.trim(x).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.coalesce(split, F.array().cast("array<string>")))
 
 
