@@ -53,7 +53,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits, versions kept whole."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{N}]+){0,8}"), F.lit(0))
 
 
 def _term_table(units: DataFrame, key: str) -> DataFrame:
