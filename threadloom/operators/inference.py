@@ -10,6 +10,9 @@ from threadloom.functions import text as X
 from threadloom.operators.running import running
 
 
+EXACT_COINS = 20_000
+
+
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """pairs(a, b) of 0/1 -> the table, chi-squared with and without correction, exact and mid p."""
     n = lambda x, y: F.sum(F.when((F.col("a") == x) & (F.col("b") == y), 1).otherwise(0)).cast("long")
@@ -89,24 +92,27 @@ def sign_flip(diffs: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 
 def median_sign_interval(diffs: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
-    """Median and the order statistics of the sign-test interval, per group; a group's values are sorted in one array."""
-
-    def bounds(pdf):
-        import math
-
-        import pandas as pd
-
-        x = sorted(pdf["d"].dropna())
-        n, k, total = len(x), -1, 0.0
-        while n and k + 1 <= (n - 1) // 2:
-            total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 2) - math.lgamma(n - k) - n * math.log(2))
-            if 2 * total > 1 - level:
-                break
-            k += 1
-        k = max(k, 0)
-        middle = (x[(n - 1) // 2] + x[n // 2]) / 2 if n else None
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(head | {"median": [middle], "low": [x[k] if n else None], "high": [x[n - 1 - k] if n else None]})
-
-    kinds = dict(diffs.dtypes)
-    return diffs.groupBy(*by).applyInPandas(bounds, ", ".join(f"{c} {kinds[c]}" for c in by) + ", median double, low double, high double")
+    """Median and the order statistics of the sign-test interval, per group, from ranks over ranges of the values.
+
+    The place k is the last with 2 P(X <= k) within 1 - level for n fair coins (0 if there is none), from exact terms up to
+    ``EXACT_COINS`` values and from the normal approximation beyond.
+    """
+    n, alpha = F.col("n"), 1 - level
+    half = n * F.log(F.lit(2.0))
+
+    def step(a, j):
+        term = F.when(j == 0, -half).otherwise(a["l"] + F.log((n - j + 1) / F.greatest(j, F.lit(1)).cast("double")))
+        total = a["s"] + F.exp(term)
+        return F.struct(term.alias("l"), total.alias("s"), F.when(2 * total <= alpha, j).otherwise(a["k"]).alias("k"))
+
+    start = F.struct((-half).alias("l"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("k"))
+    exact = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 2)), start, step)["k"]
+    k = F.when(n <= EXACT_COINS, exact).otherwise(F.floor((n - 1 - stats.Z95 * F.sqrt("n")) / 2))
+    rows = diffs.where("d is not null")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", k)
+    ranked = running(rows.select(*by, "d"), "d", [F.asc("d")], {"rank": ("sum", F.lit(1))}, partition=by)
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("d")))
+    joined = ranked.join(sizes, by).where("rank in (k + 1, n - k, floor((n + 1) / 2), floor(n / 2) + 1)")
+    return joined.groupBy(*by).agg(
+        ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"), at(F.col("k") + 1).alias("low"), at(n - F.col("k")).alias("high")
+    )

@@ -73,6 +73,20 @@ ORACLE = {
         WHEN w = 1 AND ti THEN '1word_title' WHEN w = 1 THEN 'other' WHEN w = 2 AND ti THEN '2word_title' WHEN w = 2 THEN '2word_other' ELSE '3plus_words' END AS form FROM f)
         SELECT p_partkey, name, form, CASE WHEN form = 'mixed_case_special' THEN 'Wizard Spider' WHEN up THEN 'WIZARD SPIDER' WHEN ti THEN 'Wizard Spider' WHEN lo THEN 'wizard spider' ELSE 'wizard spider' END AS recast,
         'APT0 was observed ' || CASE WHEN regexp_matches(name, '^[A-Z][a-z]') AND NOT regexp_matches(name, '^[A-Za-z][A-Za-z0-9]*[A-Z]') THEN lower(name[1:1]) || name[2:] ELSE name END AS inserted FROM g""",
+    "evidence_words": r"""WITH t AS (SELECT item_id, unnest(range(len(w))) AS place, w FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+        s AS (SELECT item_id, place, regexp_replace(w[place + 1], '^[,.?!;:"''()\[\]{}]+|[,.?!;:"''()\[\]{}]+$', '', 'g') AS word, 2 * (('0x' || substr(md5('e|' || item_id || '|' || place), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0) - 1 AS share FROM t),
+        r AS (SELECT *, abs(share) < 0.5 AS medium, CASE WHEN abs(share) < 0.5 THEN abs(share) ELSE share END AS weight FROM s WHERE word <> '' AND abs(share) >= 0.2),
+        b AS (SELECT item_id, lower(word) AS key, min({'m': medium, 'w': -weight, 'p': place, 'x': word}) AS b FROM r GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY b.m, b.w, b.p) AS rank, sum((NOT b.m)::INT) OVER (PARTITION BY item_id) AS high FROM b),
+        l AS (SELECT item_id, list(b.x ORDER BY rank) AS x FROM k WHERE rank <= 3 AND (NOT b.m OR high < 2) GROUP BY item_id)
+        SELECT item_id, CASE len(x) WHEN 1 THEN x[1] WHEN 2 THEN x[1] || ' and ' || x[2] ELSE x[1] || ', ' || x[2] || ', and ' || x[3] END AS text FROM l""",
+    "szf_propagation": f"""WITH RECURSIVE r AS (SELECT p_partkey AS seq, p_brand AS s, ['malware', 'tool', 'indicator'][p_partkey % 3 + 1] AS st, ['uses', 'targets'][p_partkey % 2 + 1] AS p, 'Brand#' || (p_partkey % 60 + 11) AS o, ['tool', 'malware', 'country'][p_partkey % 7 % 3 + 1] AS ot, p_size / 50.0::DOUBLE AS c FROM part),
+        l AS (SELECT *, lower(s) || '::' || st AS a, lower(o) || '::' || ot AS b FROM r),
+        e AS (SELECT * FROM l WHERE p <> 'uses' OR (st IN ('malware', 'tool', 'threat-actor', 'intrusion-set') AND ot IN ('attack-pattern', 'tool', 'infrastructure', 'malware')) QUALIFY row_number() OVER (PARTITION BY a, p, b ORDER BY seq DESC) = 1),
+        n AS (SELECT node, max(c) AS c FROM (SELECT a AS node, c FROM l UNION ALL SELECT b, c FROM l) GROUP BY node), u AS (SELECT e.* FROM e JOIN n ON e.a = n.node WHERE e.c >= {propagate.EDGE_SEED} AND n.c >= {propagate.NODE_SEED}),
+        g(node) AS (SELECT a FROM u UNION SELECT b FROM u UNION SELECT e.b FROM g JOIN e ON e.a = g.node),
+        w AS (SELECT p, c, CASE WHEN (a, p, b) IN (SELECT (a, p, b) FROM u) THEN 'seed' WHEN a IN (SELECT node FROM g) THEN 'forced' ELSE 'kept' END AS state FROM e)
+        SELECT state, p AS predicate, count(*) AS n, round(avg(CASE WHEN state = 'forced' THEN greatest(c, {propagate.FORCED}) ELSE c END), 6) AS confidence FROM w GROUP BY ALL""",
     "counterfactual_shift": _SHIFT + """, j AS (SELECT a.query, a.best <> b.best AS flip, b.gold.rank - a.gold.rank AS gold_rank_delta, round(b.gold.score - a.gold.score, 6) AS gold_score_delta, round(b.margin - a.margin, 6) AS margin_delta, a.top AS x, b.top AS y, least(5, len(a.top), len(b.top)) AS n FROM a JOIN b ON a.query = b.query),
         p AS (SELECT query, coalesce(list_position(x, i), 6) AS p, coalesce(list_position(y, i), 6) AS q FROM (SELECT query, x, y, unnest(list_distinct(x || y)) AS i FROM j)),
         t AS (SELECT u.query, sum(sign(u.p - v.p) * sign(u.q - v.q)) / sqrt(sum(abs(sign(u.p - v.p)))::DOUBLE * sum(abs(sign(u.q - v.q)))) AS tau FROM p u JOIN p v ON u.query = v.query GROUP BY u.query)

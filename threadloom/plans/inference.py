@@ -76,6 +76,10 @@ ORACLE = {
         SELECT n::BIGINT AS n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa, round((po - pe1) / (1 - pe1), 6) AS ac1, round(1 - (1 - po) / de, 6) AS alpha FROM s""",
     "holm_bh": f"""WITH t AS (SELECT s_suppkey AS id, pow({_D.format("'p|' || s_suppkey")}, 3) AS p FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM t)
         SELECT id, round(p, 6) AS p, round(least(1, max((m - k + 1) * p) OVER (ORDER BY p, id)), 6) AS holm, round(least(1, min(m * p / k) OVER (ORDER BY p DESC, id DESC)), 6) AS bh FROM k""",
+    "paired_median": """WITH o AS (SELECT o_orderpriority, round(avg(o_totalprice), 2) AS d FROM orders GROUP BY o_orderpriority, o_custkey), g AS (SELECT o_orderpriority, list(d ORDER BY d) AS x, count(*) AS n FROM o GROUP BY 1),
+        c AS (SELECT o_orderpriority, n, x, list_transform(range(0, (n - 1) // 2 + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS t FROM g),
+        k AS (SELECT *, greatest(len(list_filter(range(1, len(t) + 1), lambda j: 2 * list_sum(t[1:j]) <= 0.05)) - 1, 0) AS k FROM c)
+        SELECT o_orderpriority, (x[(n + 1) // 2] + x[n // 2 + 1]) / 2 AS median, x[k + 1] AS low, x[n - k] AS high FROM k""",
     "wilson_ci": f"""WITH s AS (SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_quantity > 40) AS k FROM lineitem GROUP BY ALL), w AS (SELECT *, k / n AS p, {stats.Z95}::DOUBLE AS z FROM s)
         SELECT l_returnflag, l_linestatus, n, k, round(CASE WHEN k = 0 THEN 0 ELSE (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n) END, 6) AS low,
         round(CASE WHEN k = n THEN 1 ELSE (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n) END, 6) AS high FROM w""",
