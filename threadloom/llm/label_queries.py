@@ -23,5 +23,27 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"), "keep")
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_TERM = r"[\p{L}\p{N}]+(?:\.[\p{N}]+){0,8}"
+_TEMPLATES = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.TEMPLATES)
+_LICENSES_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), doc_id::VARCHAR) AS path, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_')) AS folder, coalesce(text, '') AS text FROM documents),
+t(license, unit) AS (SELECT DISTINCT * FROM (VALUES {_TEMPLATES})),
+tt AS (SELECT license, unit, term, 1 + ln(count(*)) AS tf FROM (SELECT license, unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
+tw AS (SELECT license, unit AS template, term, tf * idf AS w FROM tt JOIN idf USING (term)), tl AS (SELECT license, template, sqrt(sum(w * w)) AS length FROM tw GROUP BY ALL),
+l AS (SELECT rid, path, folder, k, trim(lines[k], ' ') AS unit, trim(lines[k], ' ') = trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS whole FROM (SELECT *, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM d) WHERE regexp_matches(lines[k], '{licenses.CUE}')),
+ut AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM (SELECT DISTINCT unit FROM l)) GROUP BY ALL),
+uw AS (SELECT unit, term, tf * coalesce(idf, ln(1.0::DOUBLE + (SELECT count(*) FROM t)) + 1) AS w FROM ut LEFT JOIN idf USING (term)), ul AS (SELECT unit, sqrt(sum(w * w)) AS size FROM uw GROUP BY unit),
+s AS (SELECT unit, license, template, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL),
+b AS (SELECT unit, min({{'s': -similarity, 'l': license}}) AS b FROM (SELECT unit, license, round(dot / (size * length), 6) AS similarity FROM s JOIN ul USING (unit) JOIN tl USING (license, template)) WHERE similarity >= {licenses.SIMILARITY} GROUP BY unit),
+m AS (SELECT rid, path, folder, min({{'s': b.s, 'k': k, 'l': b.l}}) AS m, min({{'s': b.s, 'k': k, 'l': b.l}}) FILTER (whole) AS w FROM l JOIN b USING (unit) GROUP BY ALL),
+f AS (SELECT folder, min({{'p': path, 'w': w}}) AS f FROM m WHERE w IS NOT NULL GROUP BY folder)
+SELECT doc_id, d.path, coalesce(m.m.l, f.f.w.l) AS license, coalesce(-m.m.s, -f.f.w.s) AS similarity, CASE WHEN m.m IS NOT NULL THEN 'own' WHEN f.f IS NOT NULL THEN 'inherited' END AS how, CASE WHEN m.m IS NOT NULL THEN d.path ELSE f.f.p END AS from_path
+FROM d LEFT JOIN m USING (rid) LEFT JOIN f ON d.folder = f.folder"""
+
 QUERIES = {"op4_license_scan": op4_license_scan, "op8_quality_classifier": op8_quality_classifier}
-ORACLE: dict[str, str] = {}
+#: Files lie two folders deep and licence files among them, so the SQL needs to look at a file's own folder only.
+ORACLE: dict[str, str] = {"op4_license_scan": _LICENSES_SQL}
