@@ -40,12 +40,16 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers once per application, so that it need not be installed there."""
+    """Prepares a session for Python workers, once per application: sends this package, so that it need not be installed there, and, where
+    the session has Spark's default, bounds Arrow batches by fewer rows, since a row may be a long text."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     if app not in _SHIPPED:
         _SHIPPED.add(app)
         root, path = Path(__file__).parent, f"{tempfile.mkdtemp()}/{Path(__file__).parent.name}.zip"
