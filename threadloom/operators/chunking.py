@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +48,20 @@ def chunk_spans(vectors, words: list[int], least: float, most_words: int, ahead:
     import numpy as np
 
     v = np.asarray(vectors, dtype=float)
-    length = np.linalg.norm(v, axis=1)
+    length, upto = np.linalg.norm(v, axis=1), [0, *itertools.accumulate(words)]
     spans, start, n = [], 0, len(words)
     while start < n:
         end, total, centre = start + 1, words[start], v[start].copy()
         while end < n:
-            near = range(end, min(end + ahead, n))
-            scale = np.linalg.norm(centre)
-            alike = [k for k in near if scale > 0 and length[k] > 0 and v[k] @ centre / (scale * length[k]) >= least]
-            if not alike or total + sum(words[end : alike[0] + 1]) > most_words:
+            scale = length[end : end + ahead] * math.sqrt(centre @ centre)
+            fits = (scale > 0) & (v[end : end + ahead] @ centre >= least * scale)
+            step = int(fits.argmax()) + 1
+            more = upto[end + step] - upto[end]
+            if not fits[step - 1] or total + more > most_words:
                 break
-            for k in range(end, alike[0] + 1):
-                centre += v[k]
-                total += words[k]
-            end = alike[0] + 1
+            centre += v[end] if step == 1 else v[end : end + step].sum(axis=0)
+            total += more
+            end += step
         spans.append((start, end))
         if end >= n:
             break
@@ -128,5 +131,6 @@ def chunked(sentences: DataFrame, by: str, least: float = 0.25, most_words: int
 def hashed_vector(text: Column, size: int = 16) -> Column:
     """Stand-in for an embedding model: counts of words by hash bucket."""
     words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
+    # a letter per word for its bucket, and a count per letter; up to 36 buckets
+    ordered = F.array_join(F.transform(words, lambda w: F.conv(F.pmod(F.xxhash64(w), F.lit(size)).cast("string"), 10, 36)), "")
+    return F.array(*[F.regexp_count(ordered, F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[k])).cast("double") for k in range(size)])

@@ -1,7 +1,8 @@
 """Lexical retrieval over inverted indices: BM25 and TF-IDF cosine. Documents: (doc, text); queries: (query, text).
 
 Both are joins of query terms with postings, so a pair costs only where it shares a term, and all corpus statistics are
-aggregates. Ties go to the smaller document.
+aggregates. Terms travel as 64-bit hashes. Texts are dealt by document once; counting terms, scoring and summing by document need no
+further shuffle of postings. Ties go to the smaller document.
 """
 
 from __future__ import annotations
@@ -13,7 +14,16 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def _counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"))
+    # by number: texts are small beside the terms and sums made from them, so partitions must not be merged by the size of texts
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, "text").repartition(parts, key).select(key, F.explode(terms).alias("word"))
+    return rows.groupBy(key, F.xxhash64("word").alias("term")).agg(F.count("*").cast("double").alias("tf"))
+
+
+def _sent(weights: DataFrame, own: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """Query weights for the join with postings: broadcast if the query terms they come from are few enough, which are counted first. Postings
+    then stay where their document is, and so do the sums; a frequent term is no hot key. Otherwise Spark shuffles both."""
+    return F.broadcast(weights) if own.limit(most_rows + 1).count() <= most_rows else weights
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -29,15 +39,14 @@ def words(text: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """Okapi BM25 top k: (query, doc, score, rank). A negative idf is floored at epsilon times the mean idf of the vocabulary; a
     term counts as often as the query has it."""
-    tf = _counts(docs, "doc", words(F.col("text")))
-    size = tf.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    corpus = docs.agg(F.count("*").cast("double").alias("n")).join(F.broadcast(size.agg(F.sum("dl").alias("total"))))  # one row each
+    tf = _counts(docs, "doc", words(F.col("text"))).withColumn("dl", F.sum("tf").over(Window.partitionBy("doc")))
+    corpus = docs.agg(F.count("*").cast("double").alias("n"), F.sum(F.size(words(F.col("text")))).alias("total"))  # one row
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(corpus))
     raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean"))
     own = _counts(queries, "query", words(F.col("text"))).withColumnRenamed("tf", "qtf")
     weights = own.join(raw, "term").join(F.broadcast(mean)).withColumn("w", F.col("qtf") * F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")))
-    hits = tf.join(weights.select("query", "term", "w", (F.col("total") / F.col("n")).alias("avgdl")), "term").join(size, "doc")
+    hits = tf.join(_sent(weights.select("query", "term", "w", (F.col("total") / F.col("n")).alias("avgdl")), own), "term")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return _top(hits.groupBy("query", "doc").agg(F.sum(part).alias("score")), k)
 
@@ -51,12 +60,14 @@ def grams(text: Column) -> Column:
 
 def tfidf_cosine(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Top k by cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) vectors over the documents' vocabulary: (query, doc, score, rank)."""
-    tf = _counts(docs, "doc", grams(F.col("text")))
+    tf, own = _counts(docs, "doc", grams(F.col("text"))), _counts(queries, "query", grams(F.col("text")))
     n = docs.agg(F.count("*").cast("double").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda t, key, w: t.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias(w))
-    dw, qw = weigh(tf, "doc", "dw"), weigh(_counts(queries, "query", grams(F.col("text"))), "query", "qw")
-    length = lambda t, key, w, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(name))
-    dots = dw.join(qw, "term").groupBy("query", "doc").agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
-    scored = dots.join(length(dw, "doc", "dw", "dl"), "doc").join(length(qw, "query", "qw", "ql"), "query")
+    dealt = tf.repartition("term")  # once, for frequencies and lengths
+    idf = dealt.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = (1 + F.log("tf")) * F.col("idf")
+    length = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(w * w)).alias(name))
+    known = own.join(idf, "term")
+    qw = known.select("query", "term", (w * F.col("idf")).alias("qw"))  # with the idf of the document's side
+    dots = tf.join(_sent(qw, own), "term").groupBy("query", "doc").agg(F.sum((1 + F.log("tf")) * F.col("qw")).alias("dot"))
+    scored = dots.join(length(dealt.join(idf, "term"), "doc", "dl"), "doc").join(length(known, "query", "ql"), "query")
     return _top(scored.select("query", "doc", (F.col("dot") / (F.col("dl") * F.col("ql"))).alias("score")), k)
