@@ -29,7 +29,7 @@ def _quoted(x: str) -> str:
 
 _TERM = r"[\p{L}\p{N}]+(?:\.[\p{N}]+){0,8}"
 _TEMPLATES = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.TEMPLATES)
-_LICENSES_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), doc_id::VARCHAR) AS path, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_')) AS folder, coalesce(text, '') AS text FROM documents),
+_LICENSES_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), doc_id::VARCHAR) AS path, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_')) AS folder, coalesce(text, '') AS text FROM documents),
 t(license, unit) AS (SELECT DISTINCT * FROM (VALUES {_TEMPLATES})),
 tt AS (SELECT license, unit, term, 1 + ln(count(*)) AS tf FROM (SELECT license, unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM t) GROUP BY ALL),
 idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
