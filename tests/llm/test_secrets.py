@@ -70,6 +70,29 @@ def test_redaction_covers_overlaps(make):
     assert S.redact(make([text])).first().text == 'é [assign]" and [access] end'
 
 
+def test_private_keys_go_with_their_bodies(make):
+    rnd = random.Random(6)
+    body = "\n".join("".join(rnd.choice("ABCxyz019+/") for _ in range(n)) for n in (64, 64, 64, 23)) + "="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    escaped = body.replace("\n", "\\n")
+    cases = {
+        f"a {begin}\n{body}\n{end} z": "a [private_key] z",
+        f"a\n{begin}\r\n{headers}{body}\n{end}\nz {begin}\n{body}\n{end}": "a\n[private_key]\nz [private_key]",
+        f'{{"k": "{begin}\\n{escaped}\\n{end}\\n"}}': '{"k": "[private_key]\\n"}',
+        f"> {begin}\n> {body.replace(chr(10), chr(10) + '> ')}\n> {end}\nz": "> [private_key]\nz",
+        f"a {begin}\n{body}\nand so on": "a [private_key]\nand so on",
+        f"a {begin}\n{headers}{body}": "a [private_key]",
+        f"a {begin}\n{body}\n-----BEGIN CERTIFICATE-----\nMIIB": "a [private_key]\n-----BEGIN CERTIFICATE-----\nMIIB",
+        f"{begin}\nMIIE": "[private_key]",
+        f"the line {begin} opens a key, as said": "the line [private_key] opens a key, as said",
+        f"{begin}\n" + "A1b2" * 100_000 + f"\n{end}": "[private_key]",
+        f"{begin}\n" + "no key at all " * 50_000: "[private_key]\n" + "no key at all " * 50_000,
+    }
+    rows = {r.doc_id: r.text for r in S.redact(make(list(cases))).collect()}
+    assert [rows[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_plan_has_no_python(make):
     blobs = S.versions(make(["a"])).select("blob_id", "text").groupBy("blob_id").agg(F.first("text").alias("text"))
     assert not re.search("Python|Pandas|Arrow", S.scan(blobs)._jdf.queryExecution().executedPlan().toString())

@@ -35,14 +35,21 @@ MORE_RULES = (
     ("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 36),
 )
 RULES = BASE_RULES + MORE_RULES
+# What is scanned for a kind instead of its rule's pattern, which the SQL holds. A private key is its BEGIN line and what
+# follows up to the END line; if that is missing, headers and the run of base64, with a last short line that has nothing else.
+_KEY_GAP, _BASE64 = r"""(?:[\s>#*"',]|\\[nr])*+""", "[A-Za-z0-9+/=]"
+_KEY_HEADERS = rf"(?:{_KEY_GAP}(?:Proc-Type|DEK-Info|Content-Domain|Key-Info):[^\n\\]*+)*+"
+_KEY_RUN = rf"(?:{_KEY_GAP}{_BASE64}{{20,}}+)*+(?:\x20*+(?:\r?\n|\\n){_KEY_GAP}{_BASE64}++(?=[\x20\t]*(?:[\r\n\\\"']|\z)))?+"
+WIDER = {"private_key": rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|{_KEY_HEADERS}{_KEY_RUN})"}
 #: Changes whenever a rule does: pairs of an older version are scanned again.
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 LEDGER = "blob_id string, rule_version string, spans array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def _spans(text: Column, lower: Column, rank: int, rule) -> Column:
     """Array of (start, rank, end, kind) of a rule's matches, leftmost and non-overlapping, that pass its length."""
     kind, literals, pattern, group, least = rule
+    pattern = WIDER.get(kind, pattern)
     span = "array<struct<start:int,rank:int,end:int,kind:string>>"
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
