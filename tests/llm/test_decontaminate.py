@@ -67,6 +67,32 @@ def test_finds_edited_copies_and_leaves_others(spark):
     assert items[0][1].split()[-1] in dict(rows)[exact][spans[exact][0] : spans[exact][1]].lower()
 
 
+def test_finds_copies_with_words_put_in(spark):
+    rnd = random.Random(6)
+    items = [(k, " ".join(text(rnd, n))) for k, n in enumerate((9, 16, 20, 36, 55, 120))]
+    rows, expected = [], set()
+    for n in range(60):
+        k, body = items[n % len(items)]
+        w, out = body.split(), []
+        left = set(rnd.sample(range(len(w)), int(0.2 * len(w)))) if n >= 20 else set()
+        for i, x in enumerate(w):
+            put = 1 if n >= 40 else i % 2  # after each word, or each second one
+            out += (["other"] if i in left else [x]) + [f"in{rnd.randint(0, 99)}"] * put
+        rows.append((n, " ".join(text(rnd, rnd.randint(0, 60)) + out + text(rnd, rnd.randint(0, 60)))))
+        expected |= {(n, k)} if brute_align(w, rows[-1][1].split())[1] >= D.needed(len(w)) else set()
+    assert len(expected) > 40
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    assert expected <= {(r.doc_id, r.item_id) for r in D.find_leaks(docs, table).collect()} <= {(n, n % len(items)) for n, _ in rows}
+
+
+def test_sparse_copy_counts_beside_a_dense_part(spark):
+    body = text(random.Random(7), 40)
+    sparse = [y for i, x in enumerate(body) for y in ([x, "other"] if i % 2 else [x])]
+    docs = spark.createDataFrame([(1, " ".join(body[:31] + ["far"] * 70 + sparse))], "doc_id long, text string")
+    found = D.find_leaks(docs, spark.createDataFrame([(5, " ".join(body))], ITEMS)).collect()
+    assert [(r.item_id, r.matched) for r in found] == [(5, 40)]
+
+
 def test_frequent_grams_lose_to_rare_ones(spark):
     rnd = random.Random(3)
     common = text(rnd, 3)

@@ -4,11 +4,16 @@ Words are lower-cased runs of letters and digits. An item of L words counts as l
 alignment of the two matches at least ``SIMILARITY`` of its words (all of them if it has under eight).
 
 * Seeds. An item is cut into blocks of four words (three for items under 16), more blocks than words that may be
-  edited, so a copy within the limit leaves some block whole. A block's seed is the one of its 3-grams that the corpus
-  holds in the fewest documents: a first pass counts, over all documents, in how many each 3-gram of the items occurs.
-* Join. A second pass looks the documents' 3-grams up in the seed table. Seeds of one item on nearby diagonals open a
-  window; windows with too few of the item's words are left (an upper bound of any alignment), the others are aligned.
-* Alignment. Match 2, mismatch -1, gap -1, row by row in vectors; each cell carries score, matches and start.
+  replaced, so a copy within that limit leaves some block whole. A block's seed is the one of its 3-grams that the corpus
+  holds in the fewest documents. Words put in can break every 3-gram, so an item of L words also has its L - needed + 1
+  rarest words as seeds: an alignment leaves at most L - needed words unmatched, so it matches one of them wherever words
+  were replaced, left out or put in. A first pass counts in how many documents each 3-gram and word of the items occurs.
+* Join. A second pass looks the documents' 3-grams and words up in the seed tables. An item of which a document holds too few
+  words goes no further by its words. A seed opens a window as wide as an alignment through it can be: scores never fall
+  below 0, so it has at most two words put in for each one matched. Windows that overlap are joined; those with too few of
+  the item's words are left (an upper bound of any alignment), the others are aligned.
+* Alignment. Match 2, mismatch -1, gap -1, row by row in vectors; each cell carries score, matches and start. Of the
+  alignments that match enough words the one of the best score counts.
 
 Nothing of the documents is shuffled. The seed table goes to the tasks in chunks of at most ``CHUNK_WORDS`` words, checked
 by counting; a larger benchmark takes more passes, not more memory.
@@ -46,28 +51,33 @@ def needed(length: int) -> int:
     return length if length < 8 else -int(-SIMILARITY * length // 1)
 
 
-def align(item, text):
-    """Best local alignment of two id arrays: (score, matches, start and end in text). Ties: most matches, latest start, first end."""
+def align(item, text, least: int = 0):
+    """Best local alignment of two id arrays among those that match ``least`` words: (score, matches, start and end in text).
+
+    Ties: most matches, latest start, first end.
+    """
     import numpy as np
 
     n = len(text)
     zero = np.arange(n + 1, dtype=np.int64)
     ramp = zero * SCORE
     row, best, end = zero.copy(), 0, 0
-    for x in item:
+    for done, x in enumerate(item, 1):
         step = np.where(text == x, 2 * SCORE + (1 << 20), -SCORE)
         cell = np.maximum(zero, row - SCORE)
         cell[1:] = np.maximum(cell[1:], row[:-1] + step)
         row = np.maximum.accumulate(cell + ramp) - ramp
         row = np.maximum(row, zero)
-        at = int(row.argmax())
-        if (row[at] >> 20, -at) > (best >> 20, -end):
+        if done < least:
+            continue
+        at = int((np.where((row >> 20 & 0xFFFFF) >= least, row, 0) if least else row).argmax())
+        if ((row[at] >> 20) & 0xFFFFF) >= least and (row[at] >> 20, -at) > (best >> 20, -end):
             best, end = int(row[at]), at
     return best >> 40, (best >> 20) & 0xFFFFF, best & 0xFFFFF, end
 
 
 class Seeds:
-    """Items of a chunk with their 3-grams, and, once counts are known, the seed of each block."""
+    """Items of a chunk with their 3-grams, and, once counts are known, the seed of each block and the rare words."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
@@ -91,10 +101,16 @@ class Seeds:
 
         return np.unique(np.array([g for _, ids in self.items for g in self.grams(ids)], dtype=np.int64))
 
+    @staticmethod
+    def word_key(word: int) -> int:
+        """The key of a word among the counts; those of 3-grams aren't negative."""
+        return -1 - word
+
     def choose(self, count: dict[int, int]) -> None:
         import numpy as np
 
         found: list[tuple[int, int, int]] = []
+        rare_words: list[tuple[int, int, int]] = []
         for k, (_, ids) in enumerate(self.items):
             grams = self.grams(ids)
             block = 4 if len(ids) >= 16 else 3
@@ -102,7 +118,12 @@ class Seeds:
                 own = range(at, at + block - GRAM + 1)
                 rare = min(own, key=lambda p: (count.get(grams[p], 0), p))
                 found.append((grams[rare], k, rare))
+            if len(ids) >= GRAM:
+                order = sorted(range(len(ids)), key=lambda p: (count.get(self.word_key(ids[p]), 0), p))
+                rare_words += [(ids[p], k, p) for p in order[: len(ids) - needed(len(ids)) + 1]]
         found.sort()
+        rare_words.sort()
+        self.rare = np.array(rare_words, dtype=np.int64).reshape(-1, 3)
         self.keys = np.array([f[0] for f in found], dtype=np.int64)
         self.places = np.array([f[1:] for f in found], dtype=np.int64).reshape(-1, 2)
         self.arrays = [np.array(ids, dtype=np.int64) for _, ids in self.items]
@@ -137,13 +158,28 @@ class Seeds:
         keys, at = self.text_keys(ids)
         lo = np.searchsorted(self.keys, keys, "left")
         hi = np.searchsorted(self.keys, keys, "right")
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
+
+        def open_windows(k: int, place: int, at: list[int]) -> None:
+            size = len(self.arrays[k])
+            windows.setdefault(k, []).extend((x - 3 * place, x - place + 3 * size) for x in at)
+
         for h in np.flatnonzero(hi > lo):
             for s in range(lo[h], hi[h]):
                 k, place = self.places[s]
-                size = len(self.arrays[k])
-                begin = int(at[h]) - int(place)
-                windows.setdefault(int(k), []).append([begin - size // 4 - 2, begin + size + size // 4 + 2])
+                open_windows(int(k), int(place), [int(at[h])])
+        held = np.unique(ids[ids >= 0])
+        by_item: dict[int, list[tuple[int, int]]] = {}
+        first, last = np.searchsorted(self.rare[:, 0], held, "left"), np.searchsorted(self.rare[:, 0], held, "right")
+        for h in np.flatnonzero(last > first):
+            for word, k, place in self.rare[first[h] : last[h]].tolist():
+                by_item.setdefault(k, []).append((word, place))
+        for k, seeds in by_item.items():
+            own = self.arrays[k]
+            near = np.minimum(np.searchsorted(held, own), len(held) - 1)
+            if int((held[near] == own).sum()) >= needed(len(own)):
+                for word, place in seeds:
+                    open_windows(k, place, np.flatnonzero(ids == word).tolist())
         for k, spans in windows.items():
             own, best = self.arrays[k], None
             merged: list[list[int]] = []
@@ -157,7 +193,7 @@ class Seeds:
                 part = ids[a:b]
                 if int(np.isin(part, own).sum()) < needed(len(own)):
                     continue
-                score, matched, start, end = align(own, part)
+                score, matched, start, end = align(own, part, needed(len(own)))
                 if matched >= needed(len(own)) and (best is None or (score, matched) > best[:2]):
                     best = (score, matched, a + start, a + end)
             if best:
@@ -176,7 +212,7 @@ def chunks(items: DataFrame, most_words: int = CHUNK_WORDS) -> Iterator[Seeds]:
 
 
 def _document_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
-    """In how many documents each 3-gram of the chunk occurs; at most a number per 3-gram of the chunk comes back."""
+    """In how many documents each 3-gram and word of the chunk occurs; at most a number for each comes back."""
     own = docs.sparkSession.sparkContext.broadcast((seeds, seeds.all_keys()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +220,18 @@ def _document_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
 
         table, keys = own.value
         count = np.zeros(len(keys) + 1, dtype=np.int64)
+        word_count = np.zeros(len(table.vocabulary), dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
-                found, _ = table.text_keys(table.ids(words(text.as_py())))
+                ids = table.ids(words(text.as_py()))
+                found, _ = table.text_keys(ids)
+                word_count[np.unique(ids[ids >= 0])] += 1
                 at = np.searchsorted(keys, found)
                 at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == found)] if len(keys) else at[:0]
                 count[np.unique(at)] += 1
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(count[some])], names=["gram", "n"])
+        some, known = np.flatnonzero(count), np.flatnonzero(word_count)
+        gram = np.concatenate([keys[some], table.word_key(known)])
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.concatenate([count[some], word_count[known]]))], names=["gram", "n"])
 
     per_task = docs.select("text").mapInArrow(run, "gram long, n long")
     return {r["gram"]: r["n"] for r in per_task.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
