@@ -91,3 +91,22 @@ def test_nulls_repeats_empty_and_clashing_columns(make):
     assert H.near_duplicates(docs.limit(0)).collect() == [] and H.drop_near_duplicates(docs.limit(0)).collect() == []
     assert H.near_duplicates(make([(None, "only")])).first().component_id is None
     assert H.drop_near_duplicates(make([(None, "only")])).count() == 1
+
+
+def test_stage_drops_texts_of_similar_shingles(make):
+    rnd = random.Random(8)
+    grams = lambda t: {" ".join(w) for w in zip(*[t.split()[k:] for k in range(5)], strict=False)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    rows, dropped = [], set()
+    for n in range(60):
+        w = [f"w{rnd.randint(0, 5000)}" for _ in range(120)]
+        copy = w[:]
+        for k in rnd.sample(range(10, 110), 1 + n % 6):
+            copy[k] = "other"
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(copy))]
+        near = bin(brute_fingerprint(rows[-2][1]) ^ brute_fingerprint(rows[-1][1])).count("1") <= H.RADIUS
+        dropped |= {2 * n + 1} if near or alike(rows[-2][1], rows[-1][1]) >= 0.8 else set()
+    far = [k for k in dropped if bin(brute_fingerprint(rows[k - 1][1]) ^ brute_fingerprint(rows[k][1])).count("1") > H.RADIUS]
+    assert len(far) > 10 and len(dropped) < 60
+    kept = {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()}
+    assert kept == {k for k, _ in rows} - dropped

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm import similar
 from threadloom.llm.common import materialise
 from threadloom.llm.components import components
 from threadloom.session import ship
@@ -178,10 +179,23 @@ def fp_components(rows: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of its least doc_id, with all columns; fingerprints are computed again rather than stored with texts."""
-    rows = materialise(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.col(FINGERPRINT).alias("fp")), "fingerprints")
-    winners = fp_components(rows).where("fp = winner_fp").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"))
+    """One row of each component, that of its least doc_id, with all columns.
+
+    Links are those of ``near_duplicates`` and those of texts whose 5-word shingles are similar (``similar``). Keys of texts are
+    computed again rather than stored with texts.
+    """
+    rows = with_fingerprint(docs.select("doc_id", "text")).withColumnRenamed(FINGERPRINT, "fp")
+    rows = materialise(similar.with_keys(rows, signed=True), "fingerprints")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    leads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    same = nodes.join(leads, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
+    near = links(leads.select("fp")).join(of("a"), "a").join(of("b"), "b").select("lead_a", "lead_b")
+    joined = components(similar.with_similar(nodes.select("node", "bands"), materialise(same.union(near), "near-links"), docs))
+    placed = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    winners = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))).alias("w"))
+    winners = winners.select(F.col("w.node").alias("_node"), F.col("w.least").alias("_id"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    marked = with_fingerprint(whole).select("_row", F.col("_row.doc_id").alias("doc_id"), FINGERPRINT)
-    kept = marked.join(winners, (F.col(FINGERPRINT) == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_fp", "_id"]).select("_row.*")
+    marked = similar.with_keys(whole, signed=False).select("_row", F.col("_row.doc_id").alias("doc_id"), "node")
+    kept = marked.join(winners, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_node", "_id"]).select("_row.*")
