@@ -276,3 +276,13 @@ def test_taxonomy_from_a_bundle(spark, tmp_path):
 @pytest.mark.parametrize("text, want", [("```json\n[{'a': 1,}]\n```", '[{"a": 1}]'), ("x {a: 1} y", '{"a": 1}')])
 def test_json_repair(spark, text, want):
     assert column(spark, X.repair_json(F.lit(text))) == want
+
+
+def test_fuzzy_consensus_query_takes_whole_turns(spark, tmp_path):
+    from threadloom.plans import units
+
+    long = "the same opening words of a turn that go on for well over eighty characters before "
+    turns = [(1, 0, "user", "short one"), (1, 1, "user", long + "alpha " * 20), (1, 2, "user", long + "omega " * 20)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = units.fuzzy_consensus(spark, str(tmp_path)).collect()
+    assert {r.quote for r in out} == {t[3] for t in turns}

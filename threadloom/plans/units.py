@@ -44,8 +44,8 @@ def min_pairwise_cos(spark, sf_dir):
 
 def fuzzy_consensus(spark, sf_dir):
     """Votes of four passes over the turns of conversations; names differ by pass in case and a trailing letter."""
-    c = table(spark, sf_dir, "conversations").where("length(text) > 30")
-    v = c.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pass"), F.substring("text", 1, 12).alias("name"), F.substring("text", 1, 80).alias("quote"))
+    c = table(spark, sf_dir, "conversations")
+    v = c.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pass"), F.col("text").alias("name"), F.col("text").alias("quote"))
     v = v.select("conv_id", (F.col("turn") * 10 + F.col("pass")).alias("seq"), F.concat("name", F.when(F.col("pass") == 3, F.lit("s")).otherwise(F.lit(""))).alias("s_name"), F.lit("malware").alias("s_type"), F.lit("uses").alias("predicate"), F.upper("name").alias("o_name"), F.lit("tool").alias("o_type"), "quote")
     return triples.fuzzy_consensus(v, "conv_id")
 
