@@ -8,23 +8,41 @@ from threadloom.llm import packing as P
 from threadloom.llm.tokens import default_vocabulary, encoder
 
 
-def brute_cost(at, penalty, window):
-    cost = [0.0] * len(at)
-    for j in range(1, len(at)):
-        cost[j] = penalty[j] + min(cost[i] + window - (at[j] - at[i]) for i in range(j) if at[j] - at[i] <= window)
+def brute_cost(penalty, window):
+    cost = [0.0] * len(penalty)
+    for j in range(1, len(penalty)):
+        cost[j] = penalty[j] + min(cost[i] + window - (j - i) for i in range(max(0, j - window), j))
     return cost
 
 
-def test_monotone_queue_matches_brute_force():
+def test_sliding_minima_match_brute_force_over_all_places():
     rnd = random.Random(1)
-    for _ in range(50):
-        at = sorted(rnd.sample(range(1, 400), 60))
-        at = [0] + [a for k, a in enumerate(at)]
-        window = max(b - a for a, b in zip(at, at[1:])) + rnd.randint(0, 40)
-        penalty = [rnd.choice((0.0, 2.0, 10.0)) for _ in at]
-        cost, before = P.cut_chain(at, penalty, window)
-        assert np.allclose(cost, brute_cost(at, penalty, window))
-        assert all(at[j] - at[before[j]] <= window for j in range(1, len(at)))
+    for _ in range(60):
+        window = rnd.randint(1, 40)
+        penalty = np.array([0.0] + [rnd.choice((0.0, 2.0, 10.0, 10.0, 300.0)) for _ in range(rnd.randint(1, 300))])
+        f = P.cut_costs(penalty, window)
+        assert np.allclose(f - np.arange(len(f)), brute_cost(penalty.tolist(), window))
+        chain = [0, *P.cut_chain(f, len(penalty) - 1, window)]
+        lengths = np.diff(chain)
+        assert (lengths >= 1).all() and (lengths <= window).all()
+        assert np.isclose(penalty[chain].sum() + (window - lengths).sum(), f[-1] - len(penalty) + 1)
+
+
+def test_the_rest_is_cut_at_least_cost():
+    from functools import cache
+
+    rnd = random.Random(4)
+    for _ in range(40):
+        n, window = rnd.randint(1, 14), 16
+        penalty = np.array([0.0] + [rnd.choice((0.0, 2.0, 10.0)) for _ in range(n - 1)] + [0.0])
+
+        @cache
+        def best(x, penalty=penalty, n=n):
+            return 0.0 if x == n else min(penalty[y] + P.padding(y - x, window) + best(y) for y in range(x + 1, n + 1))
+
+        rest, after = P.closing(penalty, window)
+        assert np.allclose(rest, [best(x) for x in range(n + 1)])
+        assert all(x < after[x] <= n for x in range(n))
 
 
 def check(rows, texts, window=P.WINDOW):
@@ -36,9 +54,9 @@ def check(rows, texts, window=P.WINDOW):
         assert len(ids) == r.length > 0 and r.start == sum(map(len, docs.setdefault(r.doc_id, [])))
         docs[r.doc_id].append(ids)
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.padded_to))
-        assert r.doc_tokens == len(of.encode(texts[r.doc_id])) + 1
+        assert r.doc_tokens == len(of.encode(texts[r.doc_id], special=True)) + 1
     for k, t in texts.items():
-        assert np.concatenate(docs[k]).tolist() == [*of.encode(t), P.END_ID]
+        assert np.concatenate(docs[k]).tolist() == [*of.encode(t, special=True), P.END_ID]
     padding = total = 0
     for pieces in sequences.values():
         size = 0
@@ -53,7 +71,7 @@ def check(rows, texts, window=P.WINDOW):
 def test_round_trip_and_padding(make):
     rnd = random.Random(2)
     texts = {k: " ".join(rnd.choice(("Some words.", "more of it", "x", "\n", "naïve 123!")) for _ in range(rnd.randint(0, 900))) for k in range(80)}
-    texts |= {100: "", 101: None, 102: "word " * 60_000, 103: "a" * 20_000, 104: "混ぜる 漢字 🙂 " * 50}
+    texts |= {100: "", 101: None, 102: "word " * 60_000, 103: "a" * 20_000, 104: "混ぜる 漢字 🙂 " * 50, 105: "a <|endoftext|> b", 106: "漢<|endoftext|>"}
     rows = P.pack(make(list(texts.items())).coalesce(1)).collect()
     assert check(rows, texts) < 0.01
     small = P.pack(make(list(texts.items())).repartition(3, "doc_id"), window=256).collect()
@@ -87,4 +105,12 @@ def test_fast_encoder_gives_the_library_s_ids():
     for _ in range(3000):
         t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 20)))
         assert encoder().encode(t) == plain.encode(t, add_special_tokens=False).ids
-    assert 50256 not in encoder().encode("<|endoftext|>")
+
+
+def test_strings_of_special_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_vocabulary())
+    for t in ("<|endoftext|>", "a <|endoftext|> b", "漢 <|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext"):
+        assert encoder().encode(t, special=True) == plain.encode(t, add_special_tokens=False).ids
+        assert 50256 not in encoder().encode(t)

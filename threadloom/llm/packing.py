@@ -1,24 +1,27 @@
 r"""Packing documents into sequences by order-preserving dynamic programming.
 
-Documents keep the order in which a partition reads them, as one stream of ids with an end id after each. Cuts may
-fall at document ends (free), at sentence ends (a small penalty) or, where neither comes for a while, at
-plain ids (a larger one). With positions p and cut penalties c, the cheapest cut chain obeys
+Documents keep the order in which a partition reads them, as one stream of ids with an end id after each. Any place may
+be cut: document ends are free, sentence ends have a small penalty, other places a larger one. With cut penalties c, the
+cheapest cut chain over places j obeys
 
-    cost(j) = c(j) + min over i with p(j) - p(i) <= window of cost(i) + window - (p(j) - p(i))
+    cost(j) = c(j) + min over j - window <= i < j of cost(i) + window - (j - i)
 
-and since padding is linear the minimum is of cost(i) + p(i) over a sliding window: a monotone queue gives every
-transition in constant amortised time. The stream is cut in blocks; what follows a block's last good cut is carried
-on, so memory is a block and the longest document. Each partition's last rest goes out as sequences of powers of
-two, which need no padding.
+and since padding is linear the minimum is of f(i) = cost(i) + i over a sliding window. Its monotone queue (the suffix minima of
+the window) is held for a window's worth of places at a time: an accumulated minimum from the right gives the queue's front for every place,
+and one from the left takes the new values in; these can't lower each other's minima, as each is a window above one before it. So
+the optimum over all places takes constant amortised time a place.
+
+The stream is cut in blocks; what follows a block's last good cut is carried on, so memory is a block and the longest document. The
+rest of a partition is cut by a dynamic program that also knows where it ends: there a sequence of a power of two needs no padding.
 
 No shuffle: partitions are those of the input. Ids are reproducible from it, so a lost task gives the same sequences
-again. Defined results: null text is empty (only its end id); null and repeated ids are packed like others; an empty
-table gives no rows; other columns are ignored.
+again. Defined results: null text is empty (only its end id); null and repeated ids are packed like others; very long texts are
+cut like others; of equally cheap chains the one with the later previous cut is taken; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,44 +32,70 @@ from threadloom.llm.tokens import encoder
 from threadloom.session import ship
 
 WINDOW, END_ID, BLOCK = 2048, 1, 1 << 18
-SENTENCE_COST, PLAIN_COST, PLAIN_STEP = 2.0, 10.0, 8
+SENTENCE_COST, PLAIN_COST = 2.0, 10.0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def candidates(ids, doc_ends, closes):
-    """Sorted cut positions (0 first, the end last) and their penalties."""
+def penalties(ids, doc_ends, closes):
+    """What a cut costs at each place from 0 to the end."""
     import numpy as np
 
-    total = len(ids)
-    sentence = np.flatnonzero(closes[np.minimum(ids, len(closes) - 1)]) + 1
-    known = np.unique(np.concatenate(([0], sentence, doc_ends, [total])))
-    gaps = np.diff(known)
-    wide = np.flatnonzero(gaps > PLAIN_STEP)
-    plain = [np.arange(known[g] + PLAIN_STEP, known[g + 1], PLAIN_STEP) for g in wide]
-    at = np.unique(np.concatenate((known, *plain)))
-    cost = np.full(len(at), PLAIN_COST)
-    cost[np.isin(at, sentence, assume_unique=True)] = SENTENCE_COST
-    cost[np.isin(at, doc_ends)] = 0.0
+    cost = np.full(len(ids) + 1, PLAIN_COST)
+    cost[1:][closes[np.minimum(ids, len(closes) - 1)]] = SENTENCE_COST
+    cost[doc_ends] = 0.0
     cost[0] = 0.0
-    return at, cost
-
-
-def cut_chain(at: list[int], penalty: list[float], window: int = WINDOW) -> tuple[list[float], list[int]]:
-    """Least cost of a chain of windows up to each candidate, and the candidate before it."""
-    cost, before = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque([(at[0] + 0.0, 0)])
-    for j in range(1, len(at)):
-        p = at[j]
-        while p - at[queue[0][1]] > window:
-            queue.popleft()
-        best, i = queue[0]
-        value = penalty[j] + best + window - p
-        cost[j], before[j] = value, i
-        key = value + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
-    return cost, before
+    return cost
+
+
+def cut_costs(penalty, window: int = WINDOW):
+    """cost(i) + i of every place i: the least cost of a chain of sequences that ends there, and the place."""
+    import numpy as np
+
+    total = len(penalty) - 1
+    f = np.empty(total + 1)
+    f[0] = 0.0
+    for begin in range(1, total + 1, window):
+        stop = min(begin + window, total + 1)
+        n = stop - begin
+        old = f[max(0, begin - window) : begin]
+        front = np.minimum.accumulate(old[::-1])[::-1]
+        # place j sees old places from j - window on: all of them first, then one fewer at a time
+        first = np.maximum(np.arange(begin, stop) - window, 0) - max(0, begin - window)
+        queue = front[first]
+        own = penalty[begin:stop] + window + queue
+        if n > 1:
+            newer = np.minimum.accumulate(own)[:-1]
+            own[1:] = penalty[begin + 1 : stop] + window + np.minimum(queue[1:], newer)
+        f[begin:stop] = own
+    return f
+
+
+def cut_chain(f, end: int, window: int = WINDOW) -> list[int]:
+    """The cuts of a cheapest chain to ``end``, itself the last."""
+    out = []
+    while end:
+        out.append(end)
+        low = max(0, end - window)
+        end -= 1 + int(f[low:end][::-1].argmin())
+    return out[::-1]
+
+
+def padding(length: int, window: int = WINDOW) -> int:
+    return 0 if length & (length - 1) == 0 else window - length
+
+
+def closing(penalty, window: int = WINDOW) -> tuple[list[float], list[int]]:
+    """For each place of the stream's last places (at most a window of them): the least cost of the sequences from there to the end, and the next cut."""
+    import numpy as np
+
+    n = len(penalty) - 1
+    pads = np.array([padding(k, window) for k in range(n + 1)], dtype=float)
+    rest, after = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64)
+    for x in range(n - 1, -1, -1):
+        value = pads[1 : n - x + 1] + penalty[x + 1 :] + rest[x + 1 :]
+        k = int(value.argmin())
+        rest[x], after[x] = value[k], x + 1 + k
+    return rest.tolist(), after.tolist()
 
 
 def cuts(ids, doc_ends, closes, last: bool, window: int = WINDOW) -> list[int]:
@@ -74,23 +103,21 @@ def cuts(ids, doc_ends, closes, last: bool, window: int = WINDOW) -> list[int]:
     import numpy as np
 
     total = len(ids)
-    at, penalty = candidates(ids, doc_ends, closes)
-    cost, before = cut_chain(at.tolist(), penalty.tolist(), window)
+    penalty = penalties(ids, doc_ends, closes)
+    f = cut_costs(penalty, window)
+    low = max(0, total - window)
+    if last:
+        tail = penalty[low:].copy()
+        tail[-1] = 0.0
+        rest, after = closing(tail, window)
+        at = int((f[low:] - np.arange(low, total + 1) + np.array(rest)).argmin())
+        ends = cut_chain(f, low + at, window)
+        while at < total - low:
+            at = after[at]
+            ends.append(low + at)
+        return ends
     # the final cut lies within a window of the end: the cheapest one for what it leaves behind
-    near = np.flatnonzero(at >= total - window)
-    j = int(near[np.argmin(np.asarray(cost)[near] + (at[near] - total))])
-    ends = []
-    while j:
-        ends.append(int(at[j]))
-        j = before[j]
-    ends.reverse()
-    done = ends[-1] if ends else 0
-    while last and done < total:
-        rest = total - done
-        size = rest if window - rest < 16 else 1 << (min(rest, window).bit_length() - 1)
-        done += min(size, window)
-        ends.append(done)
-    return ends
+    return cut_chain(f, low + int(f[low:].argmin()), window)
 
 
 class Packer:
@@ -105,7 +132,7 @@ class Packer:
     def add(self, doc_id, text) -> None:
         import numpy as np
 
-        ids = np.array([*self.encoder.encode(text), END_ID], dtype="<u4")
+        ids = np.array([*self.encoder.encode(text, special=True), END_ID], dtype="<u4")
         self.docs.append((doc_id, ids, 0, len(ids)))
         self.size += len(ids)
 

@@ -24,9 +24,10 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 class Encoder:
-    """Ids as the tokenizers library gives them for the file, without special tokens; their strings in a text are ordinary text.
+    """Ids as the tokenizers library gives them for the file, with no special tokens put around a text.
 
-    The file's vocabulary is also laid out as byte ranks for a faster encoder of the same merges, which takes the
+    Strings of special tokens in a text are ordinary text, or with ``special`` the tokens that they name, which is the library's plain
+    reading. The file's vocabulary is also laid out as byte ranks for a faster encoder of the same merges, which takes the
     texts whose characters both split alike.
     """
 
@@ -34,18 +35,21 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.named = Tokenizer.from_file(path)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        self.special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         letters = _byte_letters()
-        self.vocabulary = {token: i for token, i in self.whole.get_vocab().items() if token not in special}
+        self.vocabulary = {token: i for token, i in self.whole.get_vocab().items() if token not in self.special}
         ranks = {bytes(letters[c] for c in token): i for token, i in self.vocabulary.items()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None, special: bool = False) -> list[int]:
         if not text:
             return []
+        if special and any(x in text for x in self.special):
+            return self.named.encode(text, add_special_tokens=False).ids
         if _FAR.search(text):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
