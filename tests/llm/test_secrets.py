@@ -96,3 +96,36 @@ def test_private_keys_go_with_their_bodies(make):
 def test_plan_has_no_python(make):
     blobs = S.versions(make(["a"])).select("blob_id", "text").groupBy("blob_id").agg(F.first("text").alias("text"))
     assert not re.search("Python|Pandas|Arrow", S.scan(blobs)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_many_matches_in_a_long_text(make):
+    import time
+
+    text = "secret=abcdefg1 é " * 60_000
+    began = time.time()
+    rows = S.find_secrets(make([text])).first().spans
+    out = S.redact(make([text])).first().text
+    assert len(rows) == 60_000 and (rows[-1].start, rows[-1].end) == (18 * 59_999, 18 * 59_999 + 15)
+    assert out == "[assign] é " * 60_000
+    assert time.time() - began < 60
+
+
+def test_findings_reach_the_rows_of_a_hot_content(make):
+    docs = make([(k, "token=abcdefg" if k % 3 else f"plain {k}") for k in range(600)]).repartition(7)
+    rows = spans(docs)
+    assert len(rows) == 600 and sum(t == "assign:0:13" for _, t in rows) == 400
+
+
+def test_redaction_when_there_are_too_many_findings_to_broadcast(make, monkeypatch):
+    monkeypatch.setattr(S, "checked_broadcast", lambda df: df)
+    docs = make([(k, f"é token=abcdefg{k % 5} z" if k % 3 else "plain") for k in range(60)])
+    rows = S.redact(docs).collect()
+    assert sorted(r.text for r in rows) == ["plain"] * 20 + ["é [assign] z"] * 40
+
+
+def test_redaction_across_blocks(make):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(("é", "x ", "𝒳", " token=abcdef0 ", "AKIA" + "Q" * 30 + " ", "word ")) for _ in range(rnd.randint(0, 2500))) for _ in range(12)]
+    rows = {r.doc_id: r.text for r in S.redact(make(texts)).collect()}
+    for k, t in enumerate(texts):
+        assert rows[k] == re.sub(r"token=[a-z0-9]+", "[assign]", re.sub(r"AKIAQ+", "[access]", t))

@@ -56,3 +56,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checked_broadcast(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, for Spark to shuffle. df should be cheap to count."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows left-joined with facts, a row per key that says in ``n`` how many rows have it; facts should be a written table.
+
+    Keys with over a fourth of a task's even share of the rows are at most four a shuffle partition, whatever the data: these are
+    broadcast and their rows stay where they are, so no task gets a hot key. Others meet in a shuffle. Null keys match nothing.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most = facts.agg(F.sum(n), F.max(n)).first()
+    share = (total or 0) // (4 * partitions)
+    if (most or 0) <= max(share, 1):
+        return rows.join(facts.drop(n), key, "left")
+    hot = facts.where(F.col(n) > share)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(n) <= share).drop(n), key, "left")
+    return others.unionByName(rows.join(F.broadcast(hot.drop(n)), key))
