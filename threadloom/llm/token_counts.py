@@ -10,9 +10,10 @@ says where documents start. Files are read in blocks of fixed size that know not
    document lies in earlier blocks;
 3. each block's first length is stitched with that carry.
 
-``write_token_files`` makes such files from documents, in the shared folder; ``read_flat_files`` takes binary files as
-they are. Defined results: null text is a document of 0 tokens; empty files give no rows; ids after the last
-separator are a document that is not terminated; null and repeated ids keep their rows; other columns are ignored.
+``write_token_files`` makes such files from documents, in the shared folder, and beside them a roster of which documents went into a
+file in which order, with no places or lengths; ``read_flat_files`` takes binary files as they are. Defined results: null text is a
+document of 0 tokens; empty files give no rows; ids after the last separator are a document that is not terminated; very long
+texts lie across as many blocks as they need; null, repeated and equal ids keep their rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,30 +31,31 @@ from threadloom.llm.tokens import encoder
 from threadloom.session import ship
 
 SEPARATOR, BLOCK_IDS = 50256, 1 << 16
-BLOCKS = "file long, block long, payload binary, doc_ids array<bigint>"
+ROSTER = 4096
+WRITTEN = "file long, block long, payload binary, doc_ids array<bigint>"
+RECORDS = "org.apache.spark.input.FixedLengthBinaryInputFormat"
 
 
-def write_token_files(docs: DataFrame, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """A token file per partition, as blocks (file, block, payload), written to the shared folder. ``doc_ids`` are the documents
-    that end in a block, in order, for naming the counts; it holds no positions."""
+def write_token_files(docs: DataFrame, vocabulary: str | None = None, separator: int = SEPARATOR) -> tuple[DataFrame, DataFrame]:
+    """A token file per partition, as blocks (file, block, payload), and the roster (file, first, doc_ids): the documents from place ``first``
+    on. Both lie in one table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         of, file, block = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        parts, size, ended = [], 0, deque()
+        parts, size, named, first = [], 0, [], 0
+
+        def row(at: int, payload: bytes | None, doc_ids: list | None) -> pa.RecordBatch:
+            columns = [pa.array([file], pa.int64()), pa.array([at], pa.int64()), pa.array([payload], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "block", "payload", "doc_ids"])
 
         def out(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal parts, size, block
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype="<u2")
             at = 0
             while len(flat) - at >= BLOCK_IDS or (whole and at < len(flat)):
-                own = flat[at : at + BLOCK_IDS]
-                named = [ended.popleft() for _ in range(int((own == separator).sum()))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([named], pa.list_(pa.int64()))],
-                    names=["file", "block", "payload", "doc_ids"],
-                )
+                yield row(block, flat[at : at + BLOCK_IDS].tobytes(), None)
                 block, at = block + 1, at + BLOCK_IDS
             parts = [flat[at:]]
             size = max(0, len(flat) - at)
@@ -62,22 +64,39 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, separator:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.array([*of.encode(text.as_py()), separator], dtype="<u2")
                 parts.append(ids)
-                ended.append(doc_id.as_py())
+                named.append(doc_id.as_py())
                 size += len(ids)
+                if len(named) == ROSTER:
+                    yield row(first, None, named)
+                    first, named = first + ROSTER, []
                 if size >= 8 * BLOCK_IDS:
                     yield from out(False)
         yield from out(True)
+        if named:
+            yield row(first, None, named)
 
     ship(docs.sparkSession)
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "token-files")
+    written = materialise(docs.select("doc_id", "text").mapInArrow(run, WRITTEN), "token-files")
+    blocks = written.where("payload is not null").select("file", "block", "payload")
+    return blocks, written.where("doc_ids is not null").select("file", F.col("block").alias("first"), "doc_ids")
+
 
+def read_flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, whole_bytes: int = 1 << 28) -> DataFrame:
+    """Blocks (file, block, payload) of binary token files by any path Spark can read; ``file`` is the path.
 
-def read_flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of binary token files by any path Spark can read; ``file`` is the path. A file is cut where Spark has read it."""
+    Files up to ``whole_bytes`` are read whole and cut. A larger one is read in ranges by as many tasks as it has splits, in records of
+    the longest length up to a block that divides it; each such file is a branch of the plan, so lay many of them down as Parquet blocks.
+    """
     size = 2 * block_ids
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    blocks = files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block"))
-    return blocks.select("file", "block", F.expr(f"substring(content, cast(block * {size} as int) + 1, {size})").alias("payload"))
+    listed = spark.read.format("binaryFile").load(path)
+    cut = F.expr(f"transform(sequence(0, cast((length - 1) div {size} as int)), k -> substring(content, k * {size} + 1, {size}))")
+    whole = listed.where(F.col("length").between(1, whole_bytes))
+    blocks = whole.select(F.col("path").alias("file"), F.posexplode(cut).alias("block", "payload")).withColumn("block", F.col("block").cast("long"))
+    for file, length in listed.where(F.col("length") > whole_bytes).select("path", "length").collect():
+        record = 2 * max(d for k in range(1, int((length // 2) ** 0.5) + 1) if length // 2 % k == 0 for d in (k, length // 2 // k) if d <= block_ids)
+        rows = spark.sparkContext.newAPIHadoopFile(file, RECORDS, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{RECORDS}.recordLength": str(record)})
+        blocks = blocks.union(spark.createDataFrame(rows, "block long, payload binary").select(F.lit(file), "block", "payload"))
+    return blocks
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
@@ -103,26 +122,33 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
 def stitch(scanned: DataFrame) -> DataFrame:
     """Adds, by an exclusive prefix scan in each file, ``before`` (documents that ended in earlier blocks) and ``carry``
-    (ids of the block's first document in earlier blocks), and adds the carry to its first length."""
-    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = scanned.withColumn("base", F.coalesce(F.sum("n_ids").over(upto), F.lit(0)))
+    (ids of the block's first document in earlier blocks), and adds the carry to its first length.
+
+    Only four numbers a block go through the scan; lengths meet the result again by file and block."""
+    order = Window.partitionBy("file").orderBy("block")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = scanned.select("file", "block", "n_ids", "n_seps", "last").withColumn("base", F.coalesce(F.sum("n_ids").over(upto), F.lit(0)))
     placed = placed.withColumn("ended", F.when(F.col("last") >= 0, F.col("base") + F.col("last")))
     placed = placed.withColumn("before", F.coalesce(F.sum("n_seps").over(upto), F.lit(0))).withColumn("carry", F.col("base") - 1 - F.coalesce(F.max("ended").over(upto), F.lit(-1)))
+    placed = scanned.select("file", "block", "lengths").join(placed, ["file", "block"])
     return placed.withColumn("lengths", F.transform("lengths", lambda x, i: F.when(i == 0, x + F.col("carry")).otherwise(x)))
 
 
 def document_lengths(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
-    """(file, ordinal, n_tokens) of the terminated documents of token files, with the block's doc_id if blocks carry doc_ids."""
+    """(file, ordinal, n_tokens) of the terminated documents of token files."""
     placed = stitch(materialise(scan_blocks(blocks, separator), "separator-scan"))
-    if "doc_ids" in blocks.columns:
-        rows = placed.select("file", "before", F.posexplode(F.arrays_zip("lengths", "doc_ids")).alias("k", "d"))
-        return rows.select("file", (F.col("before") + F.col("k")).alias("ordinal"), F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("n_tokens"))
     rows = placed.select("file", "before", F.posexplode("lengths").alias("k", "n_tokens"))
     return rows.select("file", (F.col("before") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
+def named(lengths: DataFrame, roster: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens): the counts of a file, in order, given to the documents of its roster."""
+    rows = roster.select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
+    return lengths.join(rows.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id"), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def unterminated(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """(file, n_tokens) of the ids after the last separator of each file that has some."""
-    placed = stitch(scan_blocks(blocks, separator))
+    placed = stitch(materialise(scan_blocks(blocks, separator), "separator-scan"))
     total = placed.groupBy("file").agg((F.max(F.col("base") + F.col("n_ids")) - 1 - F.coalesce(F.max("ended"), F.lit(-1))).alias("n_tokens"))
     return total.where("n_tokens > 0")

@@ -11,8 +11,8 @@ from threadloom.llm.common import read
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in the flat files that its text was written to."""
-    files = token_counts.write_token_files(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return token_counts.document_lengths(files).select("doc_id", "n_tokens")
+    files, roster = token_counts.write_token_files(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.named(token_counts.document_lengths(files), roster)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
