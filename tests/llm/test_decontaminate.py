@@ -107,8 +107,7 @@ def test_chunks_of_a_large_benchmark(spark, monkeypatch):
     rnd = random.Random(4)
     items = [(k, " ".join(text(rnd, 30))) for k in range(20)]
     table = spark.createDataFrame(items, ITEMS)
-    assert len(list(D.chunks(table, 100))) > 1
-    monkeypatch.setattr(D, "chunks", lambda t, n=100, f=D.chunks: f(t, 100))
+    assert len(list(D.chunk_filters(table))) > 1
     docs = spark.createDataFrame([(k, "x y " + body + " z") for k, body in items] + [(99, "clean text of no item")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs, table).collect()} == {(k, k) for k, _ in items}
     assert [r.doc_id for r in D.drop_leaks(docs, table).collect()] == [99]
@@ -124,3 +123,15 @@ def test_nulls_repeats_empty_and_clashing_columns(spark, make):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [8, 10]
     assert D.find_leaks(docs.limit(0), items).collect() == [] and D.find_leaks(docs, items.limit(0)).collect() == []
     assert D.drop_leaks(docs, items.limit(0)).count() == 6
+
+
+def test_very_long_text_and_items_that_tie(spark):
+    rnd = random.Random(9)
+    body = text(rnd, 30)
+    far = text(rnd, 200_000)
+    items = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(body)), (3, " ".join(body[:20]))], ITEMS)
+    docs = spark.createDataFrame([(5, " ".join(far[:150_000] + body + far[150_000:] + body))], "doc_id long, text string")
+    found = {r.item_id: r for r in D.find_leaks(docs, items).collect()}
+    assert {k: r.matched for k, r in found.items()} == {1: 30, 2: 30, 3: 20}
+    begin = len(" ".join(far[:150_000])) + 1
+    assert {(r.start) for r in found.values()} == {begin}

@@ -16,10 +16,12 @@ alignment of the two matches at least ``SIMILARITY`` of its words (all of them i
   alignments that match enough words the one of the best score counts.
 
 Nothing of the documents is shuffled. The seed table goes to the tasks in chunks of at most ``CHUNK_WORDS`` words, checked
-by counting; a larger benchmark takes more passes, not more memory.
+by counting. If there are several, each chunk's result is written before the next is read and its table dropped: a larger benchmark
+takes more passes, not more memory.
 
 Defined results: null or wordless texts and items match nothing; repeated items count once, an item id with several
-texts is leaked by any of them; repeated documents and null ids keep a row each; empty tables give an empty result; other
+texts is leaked by any of them; very long texts are looked through whole, windows at a time; items that match the same words each
+have their row, and of alignments of one score the one of most matches counts, then the first; repeated documents and null ids keep a row each; empty tables give an empty result; other
 columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import materialise
 from threadloom.session import ship
 
 WORD = re.compile(r"[^\W_]+")
@@ -201,14 +204,14 @@ class Seeds:
         return out
 
 
-def chunks(items: DataFrame, most_words: int = CHUNK_WORDS) -> Iterator[Seeds]:
-    """The benchmark in chunks of bounded size, each collected by itself."""
+def chunk_filters(items: DataFrame, most_words: int | None = None) -> Iterator[DataFrame]:
+    """The benchmark's distinct rows in chunks of bounded size, each to be collected by itself."""
+    most_words = most_words or CHUNK_WORDS
     rows = items.where("text is not null").select("item_id", "text").distinct()
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
-    parts = max(1, -(-2 * total // most_words)) if total > most_words else 1
+    parts = -(-2 * total // most_words) if total > most_words else 1
     for k in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield Seeds([tuple(r) for r in own.sort("item_id", "text").collect()])
+        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
 
 
 def _document_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
@@ -234,23 +237,32 @@ def _document_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.concatenate([count[some], word_count[known]]))], names=["gram", "n"])
 
     per_task = docs.select("text").mapInArrow(run, "gram long, n long")
-    return {r["gram"]: r["n"] for r in per_task.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["gram"]: r["n"] for r in per_task.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    own.destroy()
+    return counts
 
 
-def prepared(docs: DataFrame, items: DataFrame) -> Iterator[Seeds]:
+def _by_chunk(docs: DataFrame, items: DataFrame, step, fold) -> DataFrame:
+    """fold of step(docs, chunk) over the chunks; all but an only chunk's results are written, and its tables dropped, before the next."""
     ship(docs.sparkSession)
-    for seeds in chunks(items):
+    parts, result = list(chunk_filters(items)), None
+    for rows in parts:
+        seeds = Seeds([tuple(r) for r in rows.sort("item_id", "text").collect()])
         seeds.choose(_document_counts(docs, seeds))
-        yield seeds
+        own = docs.sparkSession.sparkContext.broadcast(seeds)
+        found = step(docs, own)
+        if len(parts) > 1:
+            found = materialise(found, "leaks")
+            own.destroy()
+        docs, result = fold(docs, result, found)
+    return result
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per document and leaked item: matched words, score and the span of characters in the text."""
-    found = None
-    for seeds in prepared(docs, items):
-        own = docs.sparkSession.sparkContext.broadcast(seeds)
 
-        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+    def step(docs: DataFrame, own) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [c.split()[0] for c in LEAKS.split(", ")]
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
             for batch in batches:
@@ -264,21 +276,21 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
-        found = part if found is None else found.union(part)
-    return found
+        return docs.select("doc_id", "text").mapInArrow(run, LEAKS)
+
+    return _by_chunk(docs, items, step, lambda docs, result, found: (docs, found if result is None else result.union(found)))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns; no shuffle."""
-    for seeds in prepared(docs, items):
-        own = docs.sparkSession.sparkContext.broadcast(seeds)
 
-        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+    def step(docs: DataFrame, own) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
                 clean = [not own.value.leaks(own.value.ids(words(t.as_py()))) for t in texts]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    return _by_chunk(docs, items, step, lambda docs, result, found: (found, found))
