@@ -47,6 +47,30 @@ def test_inheritance_from_the_nearest_directory(spark):
     assert L.license_scan(files, L.templates(spark).limit(0)).where("license is not null").count() == 0
 
 
+def test_real_licence_files_and_headers(spark):
+    mit = f"MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join(x.strip() for x in L.TEXTS[1][1].split("Copyright (c) ")[1].replace("conditions: The above", "conditions:\n\nThe above").replace("Software. THE", "Software.\n\nTHE").split("\n\n"))
+    bsd = f"BSD 3-Clause License\n\nCopyright (c) 2021, The Team\nAll rights reserved.\n\n{L._BSD}\n\n{L._BSD_THIRD}\n\n{L._BSD_AS_IS}\n"
+    gpl = "\n".join(["/* x.c", " *", " * This program is free software: you can redistribute it and/or modify", " * it under the terms of the GNU General Public License as published by", " * the Free Software Foundation, either version 3 of the License, or", " * (at your option) any later version.", " *", " * more text", " */", "int main;"])
+    long_gpl = "                    GNU GENERAL PUBLIC LICENSE\r\n                       Version 3, 29 June 2007\r\n\r\n" + "Everyone may copy this. " * 3000
+    rows = [
+        (1, "mit/LICENSE", mit), (2, "mit/src/deep/x.py", "code"), (3, "bsd/LICENSE.txt", bsd), (4, "bsd/y", ""), (5, "g/x.c", gpl), (6, "g/z.c", "z"), (7, "s/a.py", "#!/bin/sh\n# SPDX-License-Identifier: MIT\ncode"), (8, "s/b.py", "// SPDX-License-Identifier: Zlib"),
+        (9, "all/COPYING", long_gpl), (10, "all/q", "t"), (11, "two/LICENSE-MIT", mit), (12, "two/LICENSE-BSD", bsd), (13, "two/q", "t"), (14, "r/x", "text\nAll rights reserved."), (15, "r/y", "text"), (16, "mit/other", "word " * 50_000 + "license"),
+    ]
+    got = {r.file_id: (r.license, r.how, r.from_path) for r in L.license_scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: "GPL-3.0", 6: None, 7: "MIT", 8: None, 9: "GPL-3.0", 10: "GPL-3.0", 11: "MIT", 12: "BSD-3-Clause", 13: "BSD-3-Clause AND MIT", 14: "Proprietary", 15: None, 16: "MIT",
+    }
+    assert got[2][1:] == ("inherited", "mit/LICENSE") and got[13][1:] == ("inherited", "two/LICENSE-BSD") and got[5][1:] == ("own", "g/x.c")
+
+
+def test_ties_go_by_place_then_name(spark):
+    known = spark.createDataFrame([("B", "licensed by terms of one kind"), ("A", "licensed by terms of one kind"), ("C", "license two of another sort")], "license string, text string")
+    text = "license two of another sort\nlicensed by terms of one kind"
+    rows = [(1, "x", text), (2, "y", "licence z\nlicensed by terms of one kind\n"), (3, "x", text)]
+    got = {r.file_id: r.license for r in L.license_scan(spark.createDataFrame(rows, FILES), known).collect()}
+    assert got == {1: "C", 2: "A", 3: "C"}
+
+
 def test_em_recovers_labeller_accuracy():
     rnd, true, patterns = random.Random(1), [0.7, 0.5, 0.4, 0.6], Counter()
     for _ in range(20_000):
