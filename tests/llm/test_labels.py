@@ -71,15 +71,44 @@ def test_ties_go_by_place_then_name(spark):
     assert got == {1: "C", 2: "A", 3: "C"}
 
 
-def test_em_recovers_labeller_accuracy():
-    rnd, true, patterns = random.Random(1), [0.7, 0.5, 0.4, 0.6], Counter()
-    for _ in range(20_000):
-        good = rnd.random() < 0.8
-        patterns[tuple(-1 if good or rnd.random() > p else 0 for p in true)] += 1
-    share, table, post = W.fit_votes(sorted(patterns.items()))
-    assert abs(share - 0.8) < 0.04
-    assert all(abs(table[k][0][1] - p) < 0.06 for k, p in enumerate(true))
-    assert post[(0, 0, 0, 0)] < 0.01 and post[(-1, -1, -1, -1)] > 0.9
+def simulated(seed, right, share, speaks, n=20_000):
+    """Vote patterns of labellers that are right so often on [bad, good] documents, when they vote."""
+    rnd, patterns = random.Random(seed), Counter()
+    for _ in range(n):
+        good = rnd.random() < share
+        patterns[tuple(-1 if rnd.random() > speaks else int(good) if rnd.random() < r[good] else 1 - good for r in right)] += 1
+    return sorted(patterns.items())
+
+
+def test_em_recovers_the_accuracies_of_both_sides():
+    right = [(0.7, 0.95), (0.9, 0.8), (0.6, 0.99), (0.8, 0.9), (0.75, 0.7)]
+    for share in (0.8, 0.5, 0.3):
+        good, table, _ = W.fit_votes(simulated(1, right, share, 0.8))
+        assert abs(good - share) < 0.04
+        for (bad, fine), (on_bad, on_good) in zip(right, table):
+            assert abs(on_bad[0] - bad) < 0.06 and abs(on_good[1] - fine) < 0.06
+
+
+def test_posteriors_match_brute_force():
+    patterns = simulated(2, [(0.7, 0.95), (0.9, 0.8), (0.6, 0.99)], 0.7, 0.7)
+    good, table, post = W.fit_votes(patterns)
+    for p, _ in patterns:
+        joint = [1 - good, good]
+        for k, v in enumerate(p):
+            for c in (0, 1):
+                joint[c] *= table[k][c][v] if v >= 0 else 1
+        assert abs(post[p] - joint[1] / sum(joint)) < 1e-6
+    assert abs(sum(n * post[p] for p, n in patterns) / sum(n for _, n in patterns) - good) < 1e-3  # a fixed point
+    assert W.fit_votes([]) == (0.5, [], {})
+
+
+def test_scores_and_training():
+    rnd = random.Random(3)
+    rows = [([i, 9], [0.8, 0.6], float(i < 4)) for i in (rnd.randint(0, 7) for _ in range(400))]
+    w = W.train(rows)
+    z = W.scores(w, [r[:2] for r in rows])
+    assert all(abs(a - (w[i[0]] * v[0] + w[i[1]] * v[1] + w[-1])) < 1e-9 for a, (i, v, _) in zip(z, rows))
+    assert all((a > 0) == (y == 1) for a, (_, _, y) in zip(z, rows))
 
 
 def test_held_out_labels(spark):
@@ -92,5 +121,6 @@ def test_held_out_labels(spark):
 
 def test_classifier_on_odd_tables(make):
     docs = make([(None, None), (1, ""), (2, "x " * 100_000), (3, "Some words of a text."), (3, "Some words of a text.")], {"score": F.lit(1), "votes": F.lit(2), "key": F.lit(3)})
-    assert W.classify(docs).count() == 5
+    rows = W.classify(docs).collect()
+    assert len(rows) == 5 and len({r.score for r in rows if r.doc_id == 3}) == 1 and len({r.score for r in rows if r.doc_id in (None, 1)}) == 1
     assert W.classify(docs.limit(0)).collect() == []
