@@ -67,3 +67,40 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and got[0] == got[1] == got[11] == "" and len(got[7]) == 5 * 200_000 - 1
     twice = docs.where("page_id = 7").union(docs.where("page_id = 7"))
     assert H.main_text(twice).count() == 2 and H.main_text(docs.limit(0)).collect() == []
+
+
+P = "The town council met on Monday to vote on a new plan. It passed by a narrow margin after a long debate."
+Q = "Many residents had come to speak, and most of them were in favour. The mayor thanked them all."
+LINKS = "".join(f'<li><a href="/a{k}">Linked story number {k}</a></li>' for k in range(8))
+ITEMS = "\n".join(f"Linked story number {k}" for k in range(8))
+BAR = "".join(f'<a href="/a{k}">Link {k}</a> ' for k in range(10))
+LAYOUTS = {  # written by hand, none from the generator
+    f"<html><body><article><h1>T</h1><p>{P}</p><p>The energy is <math><mi>E</mi><mo>=</mo><mn>5</mn><annotation>x</annotation></math> joules.</p></article></body></html>": f"T\n{P}\nThe energy is E=5 joules.",
+    f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>T</h1><p>{P}</p><ul>{LINKS}</ul><p>{Q}</p></article><footer>c</footer></body></html>": f"T\n{P}\n{ITEMS}\n{Q}",
+    f'<html><body><article><h1>T</h1><p>{P}</p><p>{Q}</p><section class="references"><h2>References</h2><ol><li><a href=x>Smith 2001</a></li><li><a href=y>Jones 2003</a></li></ol></section></article></body></html>': f"T\n{P}\n{Q}\nReferences\nSmith 2001\nJones 2003",
+    f"<html><body><div><p>{P}</p><p>{Q}</p></div><div>{BAR}</div></body></html>": f"{P}\n{Q}",
+    f"<html><body><div>{BAR}</div><div><h1>T</h1><p>{P}</p><p>{Q}</p><p>{P}</p></div><div>Copyright 2020</div></body></html>": f"T\n{P}\n{Q}\n{P}",
+    f"<html><body><article><h1>T</h1><p>{P}</p><p>{Q}</p><div class=related><h3>More</h3><ul>{LINKS}</ul></div></article></body></html>": f"T\n{P}\n{Q}",
+    f"<p>{P}</p><p>{Q}</p>": f"{P}\n{Q}",
+    P: P,
+    f"<html><body><header><h2>Site</h2></header><main><p>{P}</p><blockquote>{Q}</blockquote><table><tr><td>a</td><td>b</td></tr></table></main><aside><p>{P}</p></aside></body></html>": f"{P}\n{Q}\na\nb",
+}
+
+
+def test_layouts_by_hand():
+    model = H.trained()
+    for page, text in LAYOUTS.items():
+        assert model.text(page) == text
+
+
+def test_stored_weights_are_those_of_training():
+    made, stored = H.train(labelled_pages(H.TRAINING_PAGES, H.SEED)), H.trained()
+    assert all(abs(a - b) < 1e-3 for a, b in zip(made.weights, stored.weights, strict=True))
+
+
+def test_deep_pages_and_stray_closers_take_linear_time():
+    import time
+
+    began = time.time()
+    H.trained().text("<div>" * 60_000 + "</p></span></li></ul><li>" * 60_000 + "x")
+    assert time.time() - began < 10

@@ -4,22 +4,27 @@ A page's block elements are the nodes of a tree, each with a hidden label: conte
 features of an element (its tag, its names and roles, the length, links and punctuation of its text); parent-child
 potentials depend on both labels and the kind of child. Sum-product passes messages up to the root and down again, which
 on a tree gives exact marginals. The weights maximise the likelihood of labelled pages (``page_samples``), whose
-gradient is what those marginals give; training takes ``TRAINING_PAGES`` pages, a bound that no input changes.
+gradient is what those marginals give; training takes ``TRAINING_PAGES`` pages, a bound that no input changes. The trained weights,
+fewer than a hundred, lie in ``page_weights.json``; ``python -m threadloom.llm.html_text`` trains them anew.
 
 A text block is kept if its element's marginal for content is above one half. Character references are decoded, white space in a
-block becomes one space, blocks are joined in page order by one newline; scripts, styles and comments are no text.
+block becomes one space, blocks are joined in page order by one newline; scripts, styles and comments are no text, formulas are (without
+their annotations).
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are read as browsers do for
-paragraphs, list items and cells; long pages are read whole, without recursion; repeated pages give a row each; empty table,
+paragraphs, list items and cells; long and deep pages are read whole, without recursion, in time linear in their length; repeated pages give a row each; empty table,
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,7 @@ BLOCK_TAGS = frozenset(
     "head header hgroup html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object canvas audio video".split())
+RAW_TAGS = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg annotation annotation-xml object canvas audio video".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -44,7 +49,7 @@ _KINDS = {"p": 0, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1, "li": 2,
 _TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "td", "tr", "table", "article", "main", "div", "section", "nav", "header", "footer", "aside", "form", "label", "button", "blockquote", "pre", "figure", "figcaption", "body")
 N_KINDS, _FIRST = 6, {t: k for k, t in enumerate(_TAGS)}
 _BASE = len(_TAGS) + 1
-N_FEATURES = _BASE + 2 + 5 + 3 + 3 + 6 + 5
+N_FEATURES = _BASE + 2 + 5 + 3 + 3 + 6 + 5 + 15
 
 
 class Tree:
@@ -57,6 +62,14 @@ class Tree:
 
     def _read(self, page: str) -> None:
         stack, pieces, links, link, at, hidden = [0], [], 0, 0, 0, 0
+        opened: Counter = Counter()  # how often each tag is open, so that what isn't there is not looked for
+
+        def close(k: int) -> None:
+            nonlocal hidden
+            for x in stack[k:]:
+                opened[self.tag[x]] -= 1
+                hidden -= self.tag[x] == "head"
+            del stack[k:]
 
         def flush() -> None:
             nonlocal pieces, links
@@ -95,35 +108,33 @@ class Tree:
                 flush()
                 tags = self.tag
                 if closing:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[stack[k]] == name:
-                            hidden -= sum(tags[x] == "head" for x in stack[k:])
-                            del stack[k:]
-                            break
+                    if opened[name]:
+                        close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == name))
                     continue
-                if name in ("html", "body") and any(tags[x] == name for x in stack):
+                known = re.search(r'data-y="([01])"', rest) if rest else None
+                if name == "html" and known:
+                    self.label[0] = int(known[1])
+                if name == "html" or (name == "body" and opened[name]):
                     continue
                 if name == "body" and hidden:
-                    k = next(k for k, x in enumerate(stack) if tags[x] == "head")
-                    del stack[k:]
-                    hidden = 0
+                    close(next(k for k, x in enumerate(stack) if tags[x] == "head"))
                 if tags[stack[-1]] == "p":
-                    stack.pop()
-                if name in CLOSES:
+                    close(len(stack) - 1)
+                if name in CLOSES and any(opened[x] for x in CLOSES[name][0].split()):
                     own, stop = CLOSES[name]
                     for k in range(len(stack) - 1, 0, -1):
                         if tags[stack[k]] in stop:
                             break
                         if tags[stack[k]] in own.split():
-                            del stack[k:]
+                            close(k)
                             break
                 hidden += name == "head"
                 self.parent.append(stack[-1])
                 tags.append(name)
                 self.names.append(" ".join(x.group() for x in _NAMES.finditer(rest)) if rest else "")
-                known = re.search(r'data-y="([01])"', rest) if rest else None
                 self.label.append(int(known[1]) if known else -1)
                 stack.append(len(tags) - 1)
+                opened[name] += 1
         flush()
 
     def features(self) -> list[list[int]]:
@@ -161,7 +172,13 @@ class Tree:
             share, n_p = below[k] / total, paragraphs[k]
             leaf = own[k] == below[k]
             f.append(_BASE + 13 + (5 if leaf else 0 if share < 0.1 else 1 if share < 0.3 else 2 if share < 0.6 else 3 if share < 0.85 else 4))
-            f.append(_BASE + 19 + (0 if not n_p else 1 if n_p < 3 else 2 if n_p < 6 else 3 if n_p < 12 else 4))
+            many = 0 if not n_p else 1 if n_p < 3 else 2 if n_p < 6 else 3 if n_p < 12 else 4
+            f.append(_BASE + 19 + many)
+            if self.tag[k] in ("html", "body"):  # these hold content themselves on few pages
+                f.append(_BASE + 24 + many)
+                f.append(_BASE + 29 + (0 if not size else 1 if size < 90 else 2))
+            elif not names and self.tag[k] in ("div", "section"):
+                f.append(_BASE + 32 + many)
             out.append(f)
         return out
 
@@ -169,8 +186,8 @@ class Tree:
         return [_KINDS.get(t, 5) for t in self.tag]
 
     def labels(self) -> list[int]:
-        """Known labels, passed down to elements without one of their own; the root is no content."""
-        out = [0]
+        """Known labels, passed down to elements without one of their own; a root without one is no content."""
+        out = [max(self.label[0], 0)]
         for k in range(1, len(self.parent)):
             out.append(self.label[k] if self.label[k] >= 0 else out[self.parent[k]])
         return out
@@ -244,16 +261,12 @@ def train(pages: list[str], epochs: int = EPOCHS, step: float = 0.5, decay: floa
     return Model(w.tolist(), e.tolist())
 
 
-_TRAINED: list[Model] = []
+WEIGHTS = Path(__file__).with_name("page_weights.json")
 
 
 def trained() -> Model:
-    """The model of the built-in labelled pages, trained once per process; a few hundred numbers."""
-    if not _TRAINED:
-        from threadloom.llm.page_samples import labelled_pages
-
-        _TRAINED.append(train(labelled_pages(TRAINING_PAGES, SEED)))
-    return _TRAINED[0]
+    """The model of the built-in labelled pages, as stored."""
+    return Model(**json.loads(WEIGHTS.read_text()))
 
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -267,3 +280,11 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     ship(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+
+
+if __name__ == "__main__":
+    from threadloom.llm.page_samples import labelled_pages
+
+    made = train(labelled_pages(TRAINING_PAGES, SEED))
+    rounded = {"weights": [round(x, 6) for x in made.weights], "edges": [[[round(x, 6) for x in row] for row in table] for table in made.edges]}
+    WEIGHTS.write_text(json.dumps(rounded) + "\n")

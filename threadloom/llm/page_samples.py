@@ -44,6 +44,9 @@ class Pages:
         items = "".join(f'<li><a href="/x">{self.words(1, 3)}</a></li>' for _ in range(self.r.randint(2, 9)))
         return f"<ul>{items}</ul>"
 
+    def plain_links(self) -> str:
+        return '<div data-y="0">' + " ".join(f'<a href="/w">{self.words(1, 3)}</a>' for _ in range(self.r.randint(2, 12))) + "</div>"
+
     def named(self, kind: str, body: str) -> str:
         r = self.r
         tag = kind if kind in ("nav", "header", "footer", "aside", "form") and r.random() < 0.6 else r.choice(("div", "div", "section"))
@@ -87,7 +90,13 @@ class Pages:
             return f"<blockquote><p>{self.prose(1, 3)}</p></blockquote>"
         if x < 0.92:
             return f"<pre>{self.words(3, 15)}</pre>"
-        if x < 0.96:
+        if x < 0.94:
+            return f"<p>{self.words(2, 6)}</p>{self.links()}" if r.random() < 0.5 else self.links()
+        if x < 0.95:
+            tag, name = r.choice((("section", "references"), ("div", "footnotes"), ("section", "sources"), ("div", "notes"), ("section", "")))
+            items = "".join(f"<li><a href='/z'>{self.words(2, 8)}</a>{r.choice(('', ' ' + self.words(1, 6) + '.'))}</li>" for _ in range(r.randint(1, 9)))
+            return f"<{tag}{f' class={chr(34)}{name}{chr(34)}' if name else ''}><h2>{self.words(1, 2)}</h2><ol>{items}</ol></{tag}>"
+        if x < 0.97:
             return "<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
         return f"<figure><img src=a.png><figcaption>{self.words(2, 9)}</figcaption></figure>"
 
@@ -98,15 +107,23 @@ class Pages:
         for _ in range(r.choice((0, 0, 1, 2))):
             blocks.insert(r.randint(0, len(blocks)), self.boilerplate(r.choice(("ad", "share", "form", "aside", "notice", "comments"))))
         self.style = r.choice(("plain", "odd"))
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section"))
-        attribute = f' {r.choice(("class", "id"))}="{r.choice(CONTENT_NAMES)}"' if tag in ("div", "section") or r.random() < 0.2 else ""
-        main = f'<{tag}{attribute} data-y="1">{"".join(blocks)}</{tag}>'
         before = [self.boilerplate(k) for k in ("header", "nav", "notice", "ad", "form") if r.random() < 0.5]
         after = [self.boilerplate(k) for k in ("comments", "aside", "share", "ad", "nav", "footer") if r.random() < 0.4]
+        before += [self.plain_links()] * (r.random() < 0.15)
+        after += [self.plain_links()] * (r.random() < 0.15)
         r.shuffle(before)
+        x, head = r.random(), f"<head><title>{self.words(1, 6)}</title></head>"
+        if x < 0.03:
+            return f'<html data-y="1">{self.prose(1, 6)}</html>'
+        if x < 0.15:  # content right in the body
+            return f'<!DOCTYPE html><html>{head if x < 0.1 else ""}<body data-y="1">{"".join(before)}{"".join(blocks)}{"".join(after)}</body></html>'
+        tag = r.choice(("article", "article", "article", "main", "div", "div", "section"))
+        named = r.random() < (0.6 if tag in ("div", "section") else 0.2)
+        attribute = f' {r.choice(("class", "id"))}="{r.choice(CONTENT_NAMES)}"' if named else ""
+        main = f'<{tag}{attribute} data-y="1">{"".join(blocks)}</{tag}>'
         if r.random() < 0.3:
             main = f"<div class='{r.choice(('wrapper', 'container', 'row', 'layout'))}'>{main}{self.boilerplate(r.choice(kinds)) if r.random() < 0.6 else ''}</div>"
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 6)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+        return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{main}{''.join(after)}</body></html>"
 
 
 def labelled_pages(n: int, seed: int) -> list[str]:
