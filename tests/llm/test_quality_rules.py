@@ -39,10 +39,28 @@ def test_thresholds_adapt_to_each_source(spark):
     noisy = lambda k: " ".join(f"word{(k * 31 + i * 7) % 997}x{i}" + ("#" if i % 3 == 0 else "") for i in range(80))
     rows = [(k, plain(k), "en", "a", 0) for k in range(60)] + [(100, noisy(1), "en", "a", 0)] + [(200 + k, noisy(k), "en", "b", 0) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id: r.kept for r in Q.quality(docs, min_group=20).collect()}
+    kept = {r.doc_id: r.kept for r in Q.quality(docs, prior=1).collect()}
     assert not kept[100] and all(v for k, v in kept.items() if k != 100)
-    # few documents a source: the merged sketch of the language decides
-    assert sum(r.kept for r in Q.quality(docs.where("source = 'a'"), min_group=1000).collect()) == 60
+    # a strong prior: what the language says decides in every source
+    assert all(r.kept for r in Q.quality(docs, prior=1_000_000).collect())
+    assert sum(r.kept for r in Q.quality(docs.where("source = 'a'"), prior=1000).collect()) == 60
+
+
+def test_limits_move_smoothly_with_the_size_of_a_source(spark):
+    rows = [(k, "en", "big", 0.0) for k in range(400)] + [(1000 + k, "en", "small", 0.0) for k in range(250)]
+    limits = []
+    for n in (1, 50, 199, 200, 201, 250):
+        made = [(s, 100, 500, 40 if s == "small" else 0, 0, 0, 10, 10, False) for k, _, s, _ in rows if s == "big" or k < 1000 + n]
+        stats = spark.createDataFrame([("en", *r) for r in made], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, base_failed boolean")
+        limits.append({r.source: r.limits["symbols"] for r in Q.thresholds(stats).collect()}["small"])
+    steps = [b - a for a, b in zip(limits, limits[1:])]
+    assert limits == sorted(limits) and limits[0] < 0.6 * limits[-1] and abs(steps[2]) <= 2 and abs(steps[3]) <= 2
+
+
+def test_a_value_equal_to_its_limit_passes(spark):
+    stats = spark.createDataFrame([(1, "en", "s", 100, 500, n, 0, 0, 10, 0, False) for n in (20, 21)], "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, base_failed boolean")
+    limits = spark.createDataFrame([("en", "s", {r: 200 for r in Q.RULES})], "lang string, source string, limits map<string, long>")
+    assert [(r.n_symbols, r.kept) for r in Q.judge(stats, limits).orderBy("n_symbols").collect()] == [(20, True), (21, False)]
 
 
 def test_nulls_repeats_empty_and_clashing_columns(spark, make):

@@ -49,15 +49,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM t LEFT JOIN per USING (rid)"""
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_FLOORS = " ".join(f"WHEN '{rule}' THEN {floor}" for rule, floor in quality_rules.RULES.items())
-_LIMIT = f"q50 + {quality_rules.SPREADS} * greatest(q50 - q25, CASE rule {_FLOORS} END)"
+_RULE_ROWS = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{rule}' AS rule, CASE WHEN {size} > 0 THEN (1000 * {part}) // {size} ELSE 0 END AS value FROM b" for rule, (part, size, _) in quality_rules.RULES.items())
+_SIZE_ROWS = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{size}', {size} FROM b" for size in quality_rules.SIZES)
+_SIZE_OF = ", ".join(f"('{rule}', '{size}', {error})" for rule, (_, size, error) in quality_rules.RULES.items())
 
 
 def _cutoffs_sql(by: str) -> str:
-    return f"""SELECT {by}, rule, n, {_LIMIT} AS lim FROM (
-        SELECT {by}, rule, max(total) AS n, min(bucket) FILTER (upto * 100 >= total * 25) AS q25, min(bucket) FILTER (upto * 100 >= total * 50) AS q50
+    keys = by.split(", ")
+    same = " AND ".join(f"q.{k} = z.{k}" for k in keys)
+    return f"""WITH q AS (SELECT {by}, rule, max(total) AS n, min(bucket) FILTER (upto * 100 >= total * 25) AS q25, min(bucket) FILTER (upto * 100 >= total * 50) AS q50
         FROM (SELECT {by}, rule, bucket, sum(n) OVER (PARTITION BY {by}, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}, rule) AS total
-              FROM (SELECT {by}, rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by}, rule)"""
+              FROM (SELECT {by}, rule, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL)) GROUP BY {by}, rule)
+        SELECT {", ".join(f"q.{k}" for k in keys)}, q.rule, q.n::BIGINT AS n, (q.q50 + {quality_rules.SPREADS} * greatest(q.q50 - q.q25, floor(err / sqrt(greatest(z.q50, 1)::DOUBLE))))::BIGINT AS lim
+        FROM q JOIN (VALUES {_SIZE_OF}) r(name, size, err) ON q.rule = r.name JOIN q z ON {same} AND z.rule = r.size"""
 
 
 _QUALITY_SQL = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '?null') AS lang, coalesce(source, '?null') AS source, coalesce(text, '') AS text FROM documents),
@@ -69,14 +73,11 @@ s AS (SELECT doc_id, lang, source, rid, len(words)::BIGINT AS n_words, length(re
     length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM t JOIN w USING (rid) LEFT JOIN cover USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-v AS (SELECT rid, lang, source, base_failed, 'symbols' AS rule, CASE WHEN n_words > 0 THEN (1000 * n_symbols) // n_words ELSE 0 END AS value FROM b
-    UNION ALL SELECT rid, lang, source, base_failed, 'capitals', CASE WHEN word_chars > 0 THEN (1000 * n_capitals) // word_chars ELSE 0 END FROM b
-    UNION ALL SELECT rid, lang, source, base_failed, 'dup_lines', CASE WHEN n_lines > 0 THEN (1000 * n_dup_lines) // n_lines ELSE 0 END FROM b
-    UNION ALL SELECT rid, lang, source, base_failed, 'repeats', CASE WHEN n_words > 0 THEN (1000 * n_repeat_words) // n_words ELSE 0 END FROM b),
-sketch AS (SELECT lang, source, 0 AS every, rule, value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+v AS ({_RULE_ROWS}), sizes AS ({_SIZE_ROWS}),
+sketch AS (SELECT lang, source, 0 AS every, rule, value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bucket, count(*) AS n FROM (FROM v UNION ALL FROM sizes) WHERE NOT base_failed GROUP BY ALL),
 own AS ({_cutoffs_sql("lang, source")}), bylang AS ({_cutoffs_sql("lang")}), byall AS ({_cutoffs_sql("every")}),
-lims AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.n >= {quality_rules.MIN_GROUP} THEN own.lim WHEN bylang.n >= {quality_rules.MIN_GROUP} THEN bylang.lim ELSE byall.lim END AS lim
-    FROM own LEFT JOIN bylang ON own.lang = bylang.lang AND own.rule = bylang.rule LEFT JOIN byall ON own.rule = byall.rule),
+above AS (SELECT bylang.lang, bylang.rule, (bylang.n * bylang.lim + {quality_rules.PRIOR} * byall.lim) // (bylang.n + {quality_rules.PRIOR}) AS lim FROM bylang JOIN byall USING (rule)),
+lims AS (SELECT own.lang, own.source, own.rule, (own.n * own.lim + {quality_rules.PRIOR} * above.lim) // (own.n + {quality_rules.PRIOR}) AS lim FROM own JOIN above USING (lang, rule)),
 bad AS (SELECT DISTINCT rid FROM v JOIN lims USING (lang, source, rule) WHERE value > lim)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM b LEFT JOIN bad USING (rid)"""
 

@@ -1,17 +1,20 @@
 """Quality rules with adaptive thresholds (native: DataFrame functions only).
 
 1. One narrow pass computes integer rule statistics per document (no text is shuffled).
-2. Every rule gets a mergeable quantile sketch per (language, source): counts in buckets whose width grows with
-   the value (exact below 64, then 32 buckets a doubling), so a rank error is zero and a value error at most 1/32.
+2. Every rule, and every size that it is a share of, gets a mergeable quantile sketch per (language, source): counts in buckets whose
+   width grows with the value (exact below 64, then 32 buckets a doubling), so a rank error is zero and a value error at most 1/32.
    Sketches are sums of counts: map-side combined, mergeable in any order, the same on every run.
-3. A threshold is ``median + SPREADS * max(median - lower quartile, floor)``: the lower half sets the spread, so junk in
-   up to half of a source does not move it. Sources with under ``min_group`` documents take the merged sketch of
-   their language, languages under it the merged sketch of everything.
-4. Thresholds are joined back; one rule above its threshold rejects the document.
+3. A group's limit is ``median + SPREADS * max(median - lower quartile, error of the rule at the group's median size)``: the
+   lower half sets the spread, so junk in up to half of a source does not move it, and where that half has no spread (most documents hold no
+   symbols at all) the size of its documents does: the error of a share falls with the square root of the size, so limits tighten with
+   longer documents.
+4. A source's limit is drawn towards its language's, and that towards everybody's, with the weight of ``PRIOR`` documents, so no number of
+   documents switches from one to the other.
+5. Thresholds are joined back; one rule above its threshold rejects the document.
 
 Defined results: null text is empty (0 words, rejected by the base rule); null language or source is a group of
-its own; repeated rows are judged each; an empty table gives an empty result; other columns are ignored by
-``rule_stats`` and kept by ``filter_documents``.
+its own; repeated rows are judged each; a value equal to its threshold passes; very long texts are counted whole; an empty table gives an
+empty result; other columns are ignored by ``rule_stats`` and kept by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import SPACE, checked_broadcast, let, materialise, text_of, words_of
 
-#: Rules: thousandths of a document's words, letters or lines; floor: least spread in the same unit.
-RULES = {"symbols": 50, "capitals": 60, "dup_lines": 110, "repeats": 110}
-SPREADS = 4
-MIN_GROUP = 200
+#: Rules, in thousandths of a size: the count, the size, and the error at size one.
+RULES = {"symbols": ("n_symbols", "n_words", 700), "capitals": ("n_capitals", "word_chars", 1000), "dup_lines": ("n_dup_lines", "n_lines", 300), "repeats": ("n_repeat_words", "n_words", 1600)}
+SIZES = ("n_words", "word_chars", "n_lines")
+SPREADS, PRIOR = 4, 200
 
 
 def _repeat_words(words: Column) -> Column:
@@ -74,8 +77,7 @@ def _per_mille(part: str, whole: str) -> Column:
 
 def rule_values() -> list[Column]:
     """The value of each rule, as a struct (rule, value), from the columns of rule_stats."""
-    values = {"symbols": ("n_symbols", "n_words"), "capitals": ("n_capitals", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
-    return [F.struct(F.lit(rule).alias("rule"), _per_mille(*values[rule]).alias("value")) for rule in RULES]
+    return [F.struct(F.lit(rule).alias("rule"), _per_mille(part, whole).alias("value")) for rule, (part, whole, _) in RULES.items()]
 
 
 def bucket(value: Column) -> Column:
@@ -86,8 +88,9 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """Sketch rows (lang, source, rule, bucket, n) over the documents that pass the base rule."""
-    rows = stats.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*rule_values())).alias("r"))
+    """Sketch rows (lang, source, rule, bucket, n) of rules and sizes over the documents that pass the base rule."""
+    sizes = [F.struct(F.lit(size).alias("rule"), F.col(size).alias("value")) for size in SIZES]
+    rows = stats.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*rule_values(), *sizes)).alias("r"))
     return rows.groupBy("lang", "source", F.col("r.rule").alias("rule"), bucket(F.col("r.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -96,26 +99,33 @@ def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cutoffs(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
-    """A row per group: its document count and the array of (rule, limit)."""
+    """A row per group: its document count and the map of rules to limits."""
     group = Window.partitionBy(*by, "rule")
     ranked = sketch.select(*by, "rule", "bucket", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
     at = lambda per: F.min(F.when(F.col("upto") * 100 >= F.col("total") * per, F.col("bucket")))
-    floor = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("rule")]
-    limits = ranked.groupBy(*by, "rule").agg(F.max("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"))
-    limit = F.col("q50") + SPREADS * F.greatest(F.col("q50") - F.col("q25"), floor)
-    return limits.groupBy(*by).agg(F.max("total").alias(f"{name}_n"), F.map_from_entries(F.collect_list(F.struct("rule", limit.alias("limit")))).alias(f"{name}_limits"))
+    found = ranked.groupBy(*by, "rule").agg(F.max("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"))
+    grouped = found.groupBy(*by).agg(F.max("total").alias(f"{name}_n"), F.map_from_entries(F.collect_list(F.struct("rule", F.struct("q25", "q50")))).alias("q"))
+    entries = []
+    for rule, (_, size, error) in RULES.items():
+        own, step = F.col("q")[rule], F.floor(error / F.sqrt(F.greatest(F.col("q")[size]["q50"], F.lit(1)).cast("double")))
+        entries += [F.lit(rule), own["q50"] + SPREADS * F.greatest(own["q50"] - own["q25"], step)]
+    return grouped.select(*by, f"{name}_n", F.create_map(*entries).alias(f"{name}_limits"))
 
 
-def thresholds(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, limits map<rule, limit>) from the sketch of the source, its language or everything."""
+def drawn(own: Column, n: Column, towards: Column, prior: int) -> Column:
+    """Limits of a group drawn towards those above it, which have the weight of ``prior`` documents; whole numbers."""
+    return F.transform_values(own, lambda rule, x: F.floor((n * x + prior * towards[rule]) / (n + prior)))
+
+
+def thresholds(stats: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, limits map<rule, limit>) from the sketches of the source, its language and everything."""
     sketch = sketches(stats)
     own = cutoffs(sketch, ["lang", "source"], "own")
     lang = cutoffs(merge(sketch, ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "_lang")
     every = cutoffs(merge(sketch.withColumn("all", F.lit(0)), ["all"]), ["all"], "all").drop("all")
-    return (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
-        .select("lang", "source", F.when(F.col("own_n") >= min_group, F.col("own_limits")).when(F.col("lang_n") >= min_group, F.col("lang_limits")).otherwise(F.col("all_limits")).alias("limits"))
-    )
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
+    above = joined.withColumn("above", drawn(F.col("lang_limits"), F.col("lang_n"), F.col("all_limits"), prior))
+    return above.select("lang", "source", drawn(F.col("own_limits"), F.col("own_n"), F.col("above"), prior).alias("limits"))
 
 
 def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
@@ -129,16 +139,16 @@ def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def quality(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """A row per document row: doc_id, lang, source, statistics, failed_rules and kept."""
     stats = materialise(rule_stats(docs, ["doc_id", "lang", "source"]), "quality-stats")
-    return judge(stats, checked_broadcast(materialise(thresholds(stats, min_group), "quality-limits")))
+    return judge(stats, checked_broadcast(materialise(thresholds(stats, prior), "quality-limits")))
 
 
-def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The documents that pass, with all their columns. The statistics are written beside the rows once, since counting again
     costs far more than reading; texts are not shuffled unless there are more sources than a broadcast may hold."""
     rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     stats = materialise(rule_stats(rows, ["_row"]), "quality-rows").withColumns({"lang": F.col("_row.lang"), "source": F.col("_row.source")})
-    limits = materialise(thresholds(stats.drop("_row"), min_group), "quality-limits")
+    limits = materialise(thresholds(stats.drop("_row"), prior), "quality-limits")
     return judge(stats, checked_broadcast(limits)).where("kept").select("_row.*")
