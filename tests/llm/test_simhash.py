@@ -110,3 +110,46 @@ def test_stage_drops_texts_of_similar_shingles(make):
     assert len(far) > 10 and len(dropped) < 60
     kept = {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()}
     assert kept == {k for k, _ in rows} - dropped
+
+
+def test_a_large_bucket_is_compared_in_blocks(spark, make, monkeypatch):
+    from threadloom.llm import similar as S
+
+    monkeypatch.setattr(S, "MEMBERS", 5)
+    rnd, rows = random.Random(12), []
+    w = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
+    for n in range(60):  # a chain of edits: neighbours are similar, far ones aren't
+        for k in rnd.sample(range(150), 2):
+            w[k] = f"v{rnd.randint(0, 5000)}"
+        rows.append((n, " ".join(w)))
+    rnd.shuffle(rows)
+    texts = dict(rows)
+    grams, fps = {n: S.shingles(S.words(t)) for n, t in texts.items()}, {n: brute_fingerprint(t) for n, t in texts.items()}
+    linked = [(a, b) for a in texts for b in texts if a < b and (S.similarity(grams[a], grams[b]) >= S.SIMILARITY or bin(fps[a] ^ fps[b]).count("1") <= H.RADIUS)]
+    label = {n: n for n in texts}
+    for _ in texts:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    kept = {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()}
+    assert kept == {n for n in texts if label[n] == n}
+
+
+def test_a_group_of_texts_that_are_not_quite_similar_sends_no_pairs(spark, make):
+    from threadloom.llm import similar as S
+
+    rnd = random.Random(13)
+    w = [f"w{k}" for k in range(200)]
+    rows = []
+    for n in range(300):
+        own = w[:]
+        for k in rnd.sample(range(200), 6):
+            own[k] = f"x{rnd.randint(0, 10_000)}"
+        rows.append((n, " ".join(own)))
+    keyed = S.with_keys(make(rows).select("doc_id", "text"), signed=True)
+    cells = keyed.select("node", F.col("node").alias("root"), F.posexplode("bands").alias("band", "bucket"))
+    together = cells.alias("a").join(cells.alias("b"), ["band", "bucket"]).where("a.node < b.node").select("a.node", "b.node").distinct().count()
+    coarse = S._likely(S._mixed(cells), keyed.select("node", "sketch", F.lit(None).cast("binary").alias("finer")), best=False).count()
+    finer = keyed.select("node", "sketch").join(S._finer(S.with_keys(make(rows).select("text"), signed=False)), "node")
+    likely = S._likely(S._mixed(cells), finer, best=False).count()
+    assert together > 10_000 and likely <= coarse < together and likely < together / 20
+    assert S._likely(S._mixed(cells), finer, best=True).count() <= 300

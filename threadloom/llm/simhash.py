@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm import similar
-from threadloom.llm.common import materialise
+from threadloom.llm.common import materialise, with_facts
 from threadloom.llm.components import components
 from threadloom.session import ship
 
@@ -166,16 +166,16 @@ def links(fingerprints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable over links."""
     rows = materialise(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.col(FINGERPRINT).alias("fp")), "fingerprints")
-    return rows.join(fp_components(rows), "fp").select("doc_id", "fp", "component_id")
+    return with_facts(rows, materialise(fp_components(rows), "fp-components"), "fp").select("doc_id", "fp", "component_id")
 
 
 def fp_components(rows: DataFrame) -> DataFrame:
-    """(doc_id, fp) rows -> (fp, component_id, winner_fp), a row per fingerprint."""
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    """(doc_id, fp) rows -> (fp, n, component_id), a row per fingerprint, n documents of which have it."""
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fp"))).alias("w"))
-    return placed.join(named, "root").select("fp", F.col("w.least").alias("component_id"), F.col("w.fp").alias("winner_fp"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(named, "root").select("fp", "n", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,12 +186,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = with_fingerprint(docs.select("doc_id", "text")).withColumnRenamed(FINGERPRINT, "fp")
     rows = materialise(similar.with_keys(rows, signed=True), "fingerprints")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     leads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
     same = nodes.join(leads, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
     near = links(leads.select("fp")).join(of("a"), "a").join(of("b"), "b").select("lead_a", "lead_b")
-    joined = components(similar.with_similar(nodes.select("node", "bands"), materialise(same.union(near), "near-links"), docs))
+    joined = components(similar.with_similar(nodes.select("node", "bands", "sketch"), materialise(same.union(near), "near-links"), docs))
     placed = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winners = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))).alias("w"))
     winners = winners.select(F.col("w.node").alias("_node"), F.col("w.least").alias("_id"))
