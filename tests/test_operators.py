@@ -167,12 +167,66 @@ def test_validation_codes(spark):
 
 
 def test_fuzzy_consensus_merges_and_counts(spark):
-    rows = [(1, *triple(seq=k, s_name=n, quote=q)) for k, (n, q) in enumerate([("WannaCry", "the worm spread very fast"), ("wannacry", "the worm spread very fast again"), ("WannaCri", "the worm spread very fast"), ("Other", "the worm spread very fast")])]
+    names = [("WannaCry", "the worm spread very fast"), ("Wanna Cry", "the worm spread very fast again"), ("WannaCri", "the worm spread very fast"), ("Other", "the worm spread very fast"), ("wannacry", "the worm spread very fast"), ("WANNACRY", "the worm spread very fast")]
+    rows = [(1, *triple(seq=k, s_name=n, quote=q)) for k, (n, q) in enumerate(names)] + [(1, *triple(seq=9, s_name="WannaCry", s_type="virus", quote=names[0][1]))]
     df = spark.createDataFrame(rows, "unit int, " + TRIPLE)
     out = triples.fuzzy_consensus(df, "unit", m=3, tau=0.8).collect()
-    assert [(r.votes, r.quote) for r in out] == [(3, "the worm spread very fast again")]
+    assert [(r.votes, r.quote) for r in out] == [(3, "the worm spread very fast again")]  # case counts: the last two are other names, and the type is not allowed
     assert triples.fuzzy_consensus(df, "unit", m=4, tau=0.8).collect() == []
-    assert triples.similarity("abc", "abc") == 1
+    assert triples.similarity("abc", "abc") == 1 and triples.similarity("abc", "ABC") == 0 and triples.similarity("abc", "xyz", 0.9) == 0
+
+
+def brute_consensus(rows, m, tau):
+    """All pairs, straight from the rules."""
+    from difflib import SequenceMatcher
+
+    flat = lambda x: " ".join((x or "").split())
+    buckets = {}
+    for s, o, q in rows:
+        buckets.setdefault((flat(s), flat(o)), []).append((s, o, q))
+    keys, gone, out = list(buckets), set(), []
+    for i, a in enumerate(keys):
+        if a in gone:
+            continue
+        group = list(buckets[a])
+        for b in keys[i + 1 :]:
+            if b in gone or any(SequenceMatcher(None, a[k], b[k]).ratio() < tau for k in (0, 1)):
+                continue
+            x, y = set((buckets[a][0][2] or "").lower().split()), set((buckets[b][0][2] or "").lower().split())
+            if x and y and len(x & y) >= max(3, min(len(x), len(y)) // 2):
+                group += buckets[b]
+                gone.add(b)
+        if len(group) >= max(2, m):
+            out.append((max(group, key=lambda t: len(t[2] or "")), len(group)))
+    return out
+
+
+def test_consensus_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    words = "the worm spread very fast over many hosts".split()
+    for _ in range(20):
+        rows = [(rnd.choice(("Wanna Cry", "WannaCry", "WannaCri", "wannacry", "Petya", "NotPetya")), rnd.choice(("host", "hosts", "Host")), rnd.choice((None, " ".join(rnd.sample(words, rnd.randint(0, 8)))))) for _ in range(30)]
+        df = spark.createDataFrame([(1, *triple(seq=k, s_name=s, o_name=o, quote=q)) for k, (s, o, q) in enumerate(rows)], "unit int, " + TRIPLE) if _ < 2 else None
+        exact = {}
+        for k, (s, o, q) in enumerate(rows):
+            r = exact.setdefault((" ".join(s.split()), o), {"s_key": " ".join(s.split()), "o_key": o, "votes": 0, "first_quote": q, "quote": q, "s_name": s, "o_name": o})
+            r["votes"] += 1
+            if len(q or "") > len(r["quote"] or ""):
+                r.update(quote=q, s_name=s, o_name=o)
+        want = brute_consensus(rows, 2, 0.8)
+        assert [((r["s_name"], r["o_name"], r["quote"]), n) for r, n in triples.consensus(list(exact.values()), 2, 0.8)] == want
+        if df is not None:
+            got = triples.fuzzy_consensus(df, "unit", 2, 0.8).collect()
+            assert sorted(map(str, ((r.s_name, r.o_name, r.quote, r.votes) for r in got))) == sorted(map(str, ((*t, n) for t, n in want)))
+
+
+def test_majority_labels_keep_case_and_order(spark):
+    contexts = spark.createDataFrame([(1, "Emotet hit a bank. The emotet group left! Nothing else.")], "context_id int, text string")
+    mentions = spark.createDataFrame([(1, "Emotet", "malware", 0), (1, "bank", "Threat Actor", 1), (1, "", "tool", 2), (1, "group", None, 3)], "context_id int, name string, kind string, seq int")
+    got = [(r.k, r.kind, r.confidence) for r in triples.majority_labels(mentions, contexts).orderBy("k").collect()]
+    assert got == [(0, "malware", 0.5), (1, "other", 0.5), (2, "other", 0.5)]
 
 
 def test_viterbi_smooths_a_lone_doubtful_label():
@@ -199,9 +253,22 @@ def test_reach_and_propagate(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src int, dst int")
     got = {r.node: r.distance for r in graph.reach(spark.createDataFrame([(1,)], "node int"), edges, folder=str(tmp_path)).collect()}
     assert got == {1: 0, 2: 1, 3: 2}
-    rows = [triple(seq=1), triple(seq=2, s_name="Y", s_type="vulnerability", predicate="targets", o_name="Z", o_type="sector", confidence=0.2), triple(seq=3, s_name="Q", predicate="uses", o_type="sector"), triple(seq=4, s_name="L", o_name="M", confidence=0.1)]
-    out = {(r.source.split("::")[0], r.state): r.confidence for r in propagate.run(spark.createDataFrame(rows, TRIPLE), folder=str(tmp_path)).collect()}
-    assert out == {("x", "seed"): 0.9, ("y", "forced"): 0.9, ("l", "kept"): 0.1}
+    # X is sure of itself; its edge to the vulnerability takes Y with it, from there an unsure edge takes Z; L and M are alone
+    kinds = "seq long, s_name string, s_type string, s_confidence double, predicate string, o_name string, o_type string, o_confidence double, confidence double"
+    rows = [
+        (1, "X", "malware", 0.85, "exploits", "Y", "vulnerability", 0.2, 0.3), (2, "Z", "tool", None, "exploits", " y ", "vulnerability", 0.1, 0.2), (3, "Q", "malware", 0.5, "uses", "S", "sector", 0.5, 0.9),
+        (4, "L", "malware", 0.5, "targets", "M", "sector", 0.5, 0.1), (5, "A", "tool", 0.4, "targets", "B", "sector", 0.4, 0.75), (6, "C", "tool", 0.4, "targets", "B", "sector", 0.4, 0.2), (7, "L", "malware", 0.6, "targets", "M", "sector", 0.5, 0.2),
+    ]
+    nodes, edges = propagate.run(spark.createDataFrame(rows, kinds), folder=str(tmp_path))
+    out = {(r.source.split("::")[0], r.state): r.confidence for r in edges.collect()}
+    assert out == {("x", "forced"): 0.9, ("z", "forced"): 0.9, ("l", "kept"): 0.2, ("a", "seed"): 0.9, ("c", "forced"): 0.9}
+    got = {r.name: (r.forced, r.confidence) for r in nodes.collect()}
+    assert got == {"X": (True, 0.9), "Y": (True, 0.9), "Z": (True, 0.9), "Q": (False, 0.5), "S": (False, 0.5), "L": (False, 0.6), "M": (False, 0.5), "A": (True, 0.9), "B": (True, 0.9), "C": (True, 0.9)}
+
+
+def test_tiers(spark):
+    got = [column(spark, explain.tier(F.lit(x))) for x in (0.3, 0.299, 0.1, 0.09, -1.0)]
+    assert got == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "LOW"]
 
 
 def test_bio_spans(spark):

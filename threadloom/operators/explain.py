@@ -9,7 +9,7 @@ from threadloom.functions.text import english_join
 
 # Words that stay lower case inside a title; margins of the confidence tiers; shares of the impact classes.
 MINOR_WORDS = ["of", "and", "the", "in", "on", "for", "to", "a", "an", "or", "via", "by", "with", "from"]
-TIERS = (("HIGH", 3.0), ("MEDIUM", 1.0))
+TIERS = (("HIGH", 0.30), ("MEDIUM", 0.10))
 IMPACTS = (("HIGH", 0.5), ("MEDIUM", 0.2), ("LOW", 0.05))
 # End of fixed values.
 

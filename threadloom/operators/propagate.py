@@ -1,4 +1,4 @@
-"""Seed-and-force propagation over typed triples: confident edges, and those reachable from them along compatible ones."""
+"""Seed-and-force propagation over typed triples: what is confident by itself, and what hangs together with it over compatible edges."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.graph import reach
 
-# Node and edge confidences from which edges are seeds, the confidence of forced edges, guarded predicates.
+# Confidences from which nodes and edges are forced by themselves, the least confidence of what is forced, guarded predicates.
 NODE_SEED, EDGE_SEED, FORCED = 0.80, 0.75, 0.9
 GUARDS = {
     "uses": ("malware tool threat-actor intrusion-set", "attack-pattern tool infrastructure malware"),
@@ -32,22 +32,33 @@ def node_label(name: Column, kind: Column) -> Column:
     return F.concat_ws("::", stem, kind)
 
 
-def run(triples: DataFrame, most_sweeps: int = 50, folder: str | None = None) -> DataFrame:
-    """triples(seq, s_name, s_type, predicate, o_name, o_type, confidence) -> one row per edge with the state 'seed', 'forced' or 'kept'.
+def run(triples: DataFrame, most_sweeps: int = 50, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """triples(seq, s_name, s_type, s_confidence, predicate, o_name, o_type, o_confidence, confidence) -> nodes and edges.
 
-    The last record of an edge wins, a node's confidence is the largest of its edges, incompatible edges are dropped. Edges with
-    both node and edge confidence are seeds; compatible edges that leave a reached node are forced, with confidence at least FORCED.
+    A node has the name of its first record and the largest confidence of its records; the last record of an edge wins, and edges that aren't
+    compatible drop out. Nodes of confidence NODE_SEED and compatible edges of confidence EDGE_SEED are forced by themselves; forced nodes force
+    their compatible edges, and forced edges both their ends, until nothing changes or ``most_sweeps`` are done. What is forced has
+    confidence FORCED at least. Null confidences count as one half.
+
+    nodes: node, name, type, forced, confidence; edges: source, predicate, target, state ('seed', 'forced' or 'kept'), confidence.
     """
-    rows = triples.withColumns({"source": node_label(F.col("s_name"), F.col("s_type")), "target": node_label(F.col("o_name"), F.col("o_type"))})
-    last = F.struct("s_name", "s_type", "o_name", "o_type", "confidence")
+    half = lambda c: F.coalesce(F.col(c), F.lit(0.5))
+    rows = triples.withColumns({"source": node_label(F.col("s_name"), F.col("s_type")), "target": node_label(F.col("o_name"), F.col("o_type")), "confidence": half("confidence")})
+    last = F.struct("s_type", "o_type", "confidence")
     edges = rows.groupBy("source", "predicate", "target").agg(F.max_by(last, "seq").alias("e")).select("source", "predicate", "target", "e.*")
-    edges = edges.where(compatible(F.col("s_type"), F.col("predicate"), F.col("o_type")))
-    ends = rows.select(F.col("source").alias("node"), "confidence").union(rows.select(F.col("target").alias("node"), "confidence"))
-    nodes = ends.groupBy("node").agg(F.max("confidence").alias("c"))
-    sure = edges.where(F.col("confidence") >= EDGE_SEED).join(nodes.where(F.col("c") >= NODE_SEED).withColumnRenamed("node", "source"), "source", "left_semi")
-    start = sure.select(F.col("source").alias("node")).union(sure.select(F.col("target").alias("node"))).distinct()
-    reached = reach(start, edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct(), most_sweeps, folder)
-    seeds = sure.select("source", "predicate", "target").withColumn("seed", F.lit(True))
-    out = edges.join(seeds, ["source", "predicate", "target"], "left").join(reached.select(F.col("node").alias("source"), F.lit(True).alias("reached")), "source", "left")
-    state = F.when(F.col("seed"), "seed").when(F.col("reached"), "forced").otherwise("kept")
-    return out.select("source", "predicate", "target", state.alias("state"), F.when(state == "forced", F.greatest("confidence", F.lit(FORCED))).otherwise(F.col("confidence")).alias("confidence"))
+    edges = edges.where(compatible(F.col("s_type"), F.col("predicate"), F.col("o_type"))).withColumn("seed", F.col("confidence") >= EDGE_SEED)
+    side = lambda node, tag, place: rows.select(F.col(node).alias("node"), F.struct((2 * F.col("seq") + place).alias("k"), F.col(f"{tag}_name").alias("name"), F.col(f"{tag}_type").alias("type")).alias("first"), half(f"{tag}_confidence").alias("c"))
+    nodes = side("source", "s", 0).union(side("target", "o", 1)).groupBy("node").agg(F.min("first").alias("f"), F.max("c").alias("c"))
+    sure = edges.where("seed")
+    start = nodes.where(F.col("c") >= NODE_SEED).select("node").union(sure.select("source")).union(sure.select("target")).distinct()
+    links = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    reached = reach(start, links.union(links.select("dst", "src")).distinct(), most_sweeps, folder).select("node", F.lit(True).alias("forced"))
+    raised = lambda c, forced: F.when(forced, F.greatest(c, F.lit(FORCED))).otherwise(c)
+    found = nodes.join(reached, "node", "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+    # an edge with one reached end has both ends reached
+    out = edges.join(reached.withColumnRenamed("node", "source"), "source", "left")
+    state = F.when(F.col("seed"), "seed").when(F.col("forced"), "forced").otherwise("kept")
+    return (
+        found.select("node", F.col("f.name").alias("name"), F.col("f.type").alias("type"), "forced", raised(F.col("c"), F.col("forced")).alias("confidence")),
+        out.select("source", "predicate", "target", state.alias("state"), raised(F.col("confidence"), state != "kept").alias("confidence")),
+    )

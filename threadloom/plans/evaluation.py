@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import confusion, curves, ranking
+from threadloom.operators import confusion, curves, explain, ranking
 from threadloom.session import table
 
 THRESHOLDS = [10.0, 20.0, 40.0, 60.0, 80.0]
@@ -106,8 +106,7 @@ def margin_tiers(spark, sf_dir):
     """Best against second-best score by query, in tiers."""
     r = ranking.ranked(_pairs(spark, sf_dir))
     m = r.groupBy("query").agg((F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.max(F.when(F.col("rank") == 2, F.col("score")))).alias("margin"))
-    tier = F.when(F.col("margin") >= 3.0, "HIGH").when(F.col("margin") >= 1.0, "MEDIUM").otherwise("LOW")
-    return m.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("margin"), 6).alias("mean_margin"))
+    return m.groupBy(explain.tier(F.coalesce("margin", F.lit(0.0))).alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("margin"), 6).alias("mean_margin"))
 
 
 def hard_negatives(spark, sf_dir):
@@ -156,6 +155,6 @@ ORACLE = {
         SELECT *, round(matched / (matched + missed), 6) AS coverage FROM c""",
     "macro_micro_grouping": "SELECT event_type, user_id % 10 AS bucket, count(*) AS n, round(avg(value), 6) AS mean_score, round(avg((event_type = 'purchase')::INT), 6) AS gold_share FROM events GROUP BY GROUPING SETS ((), (event_type), (user_id % 10))",
     "score_histogram": "WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(floor((value - lo) / ((hi - lo) / 20)), 19)::BIGINT AS bin, count(*) AS n FROM events, e GROUP BY 1",
-    "margin_tiers": _P + ", m AS (SELECT query, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS margin FROM r GROUP BY query) SELECT CASE WHEN margin >= 3 THEN 'HIGH' WHEN margin >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, count(*) AS n, round(avg(margin), 6) AS mean_margin FROM m GROUP BY 1",
+    "margin_tiers": _P + ", m AS (SELECT query, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS margin FROM r GROUP BY query) SELECT CASE WHEN margin >= 0.3 THEN 'HIGH' WHEN margin >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, count(*) AS n, round(avg(margin), 6) AS mean_margin FROM m GROUP BY 1",
     "hard_negatives": _P + ", g AS (SELECT query, greatest(min(score), max(score) - 10) AS least FROM p WHERE label = 1 GROUP BY query) SELECT event_type, count(*) AS n, round(avg(score - least), 6) AS mean_gap FROM p JOIN g USING (query) WHERE label = 0 AND score >= least GROUP BY event_type",
 }

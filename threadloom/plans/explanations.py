@@ -43,15 +43,25 @@ def evidence_words(spark, sf_dir):
     return explain.evidence(b.withColumn("share", 2 * X.hash_draw(F.lit("e"), F.col("item_id"), F.col("place")) - 1), "item_id").select("item_id", "text")
 
 
-def szf_propagation(spark, sf_dir):
-    """States of edges between parts' brands and types."""
+def _linked_parts(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    rows = p.select(
-        k.alias("seq"), F.col("p_brand").alias("s_name"), F.element_at(F.array(F.lit("malware"), F.lit("tool"), F.lit("indicator")), (k % 3 + 1).cast("int")).alias("s_type"),
-        F.element_at(F.array(F.lit("uses"), F.lit("targets")), (k % 2 + 1).cast("int")).alias("predicate"), F.concat(F.lit("Brand#"), (k % 60 + 11).cast("string")).alias("o_name"),
-        F.element_at(F.array(F.lit("tool"), F.lit("malware"), F.lit("country")), (k % 7 % 3 + 1).cast("int")).alias("o_type"), (F.col("p_size") / 50.0).alias("confidence"),
+    kind = lambda x: F.element_at(F.array(*[F.lit(t) for t in ("malware", "tool", "indicator", "vulnerability", "country")]), (x % 5 + 1).cast("int"))
+    other, sure = F.floor(k * 3 / 2), lambda x: (x * 37 % 100) / 100.0
+    return p.select(
+        k.alias("seq"), F.concat(F.lit(" Item "), k.cast("string"), F.lit("s")).alias("s_name"), kind(k).alias("s_type"), sure(k).alias("s_confidence"),
+        F.element_at(F.array(*[F.lit(x) for x in ("uses", "targets", "exploits", "indicates")]), (k % 4 + 1).cast("int")).alias("predicate"),
+        F.concat(F.lit("item  "), other.cast("string")).alias("o_name"), kind(other).alias("o_type"), (sure(other) / 2).alias("o_confidence"), (F.col("p_size") / 60.0).alias("confidence"),
     )
-    return propagate.run(rows).groupBy("state", "predicate").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+def szf_propagation(spark, sf_dir):
+    """States of edges that link parts, each to the one of one and a half its number."""
+    return propagate.run(_linked_parts(spark, sf_dir))[1].groupBy("state", "predicate").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+def szf_nodes(spark, sf_dir):
+    """The parts of the same links, with their names and confidences after propagation."""
+    return propagate.run(_linked_parts(spark, sf_dir))[0].withColumn("confidence", F.round("confidence", 6))
 
 
 def wilcoxon_bca(spark, sf_dir):
@@ -67,7 +77,17 @@ _PER = """SELECT query, max(item) FILTER (rank = 1) AS best, min({{'rank': rank,
 _SHIFT = f"WITH a AS ({_PER.format(r=_R.format(score='value'))}), b AS ({_PER.format(r=_R.format(score='''CASE WHEN event_type = 'view' THEN 50 + (value - 50) / 2 ELSE value END'''))})"
 _NAMES = f"WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(p_brand) WHEN 1 THEN lower(p_name) WHEN 2 THEN {_TITLE.format(x='p_name')} WHEN 3 THEN 'CozyDuke' ELSE p_name END AS name FROM part), f AS (SELECT *, len(regexp_split_to_array(trim(name), '\\s+')) AS w, regexp_matches(name, '[A-Za-z]') AND name = upper(name) AS up, regexp_matches(name, '[A-Za-z]') AND name = lower(name) AS lo, regexp_matches(name, '[A-Za-z]') AND name = {_TITLE.format(x='name')} AS ti FROM n)"
 
-QUERIES = {f.__name__: f for f in (surface_forms, counterfactual_shift, flip_rates, evidence_words, szf_propagation, wilcoxon_bca)}
+#: Written from the rules: nodes of 0.80 and compatible edges of 0.75 are forced by themselves, and forcing crosses compatible edges both ways.
+_SZF = """WITH RECURSIVE r AS (SELECT p_partkey AS k, ' Item ' || p_partkey || 's' AS sn, p_partkey % 5 + 1 AS sk, (p_partkey * 37 % 100) / 100.0::DOUBLE AS sc, ['uses', 'targets', 'exploits', 'indicates'][p_partkey % 4 + 1] AS p, (p_partkey * 3 // 2) AS j, p_size / 60.0::DOUBLE AS c FROM part),
+    l AS (SELECT *, ['malware', 'tool', 'indicator', 'vulnerability', 'country'][sk] AS st, ['malware', 'tool', 'indicator', 'vulnerability', 'country'][j % 5 + 1] AS ot, 'item ' || k || '::' || ['malware', 'tool', 'indicator', 'vulnerability', 'country'][sk] AS a,
+        'item ' || j || '::' || ['malware', 'tool', 'indicator', 'vulnerability', 'country'][j % 5 + 1] AS b, (j * 37 % 100) / 200.0::DOUBLE AS oc FROM r),
+    e AS (SELECT * FROM l WHERE p = 'targets' OR (p = 'uses' AND st IN ('malware', 'tool', 'threat-actor', 'intrusion-set') AND ot IN ('attack-pattern', 'tool', 'infrastructure', 'malware')) OR (p = 'exploits' AND st IN ('malware', 'tool', 'threat-actor') AND ot = 'vulnerability')
+        OR (p = 'indicates' AND st = 'indicator' AND ot IN ('malware', 'tool', 'attack-pattern', 'campaign', 'intrusion-set'))),
+    ends AS (SELECT a AS node, 2 * k AS k, sn AS name, st AS kind, sc AS c FROM l UNION ALL SELECT b, 2 * k + 1, 'item  ' || j, ot, oc FROM l),
+    g(node) AS (SELECT node FROM ends WHERE c >= 0.80 UNION SELECT a FROM e WHERE c >= 0.75 UNION SELECT b FROM e WHERE c >= 0.75 UNION SELECT CASE WHEN e.a = g.node THEN e.b ELSE e.a END FROM g JOIN e ON e.a = g.node OR e.b = g.node),
+    w AS (SELECT p, c, CASE WHEN c >= 0.75 THEN 'seed' WHEN a IN (SELECT node FROM g) THEN 'forced' ELSE 'kept' END AS state FROM e)"""
+
+QUERIES = {f.__name__: f for f in (surface_forms, counterfactual_shift, flip_rates, evidence_words, szf_propagation, szf_nodes, wilcoxon_bca)}
 ORACLE = {
     "surface_forms": _NAMES + """, g AS (SELECT *, CASE WHEN w = 1 AND NOT up AND NOT lo AND NOT ti AND regexp_matches(name[2:], '[A-Z]') THEN 'mixed_case_special' WHEN w = 1 AND up AND regexp_matches(name, '[0-9]') THEN '1word_upper_digit' WHEN w = 1 AND up THEN '1word_upper_nodigit'
         WHEN w = 1 AND ti THEN '1word_title' WHEN w = 1 THEN 'other' WHEN w = 2 AND ti THEN '2word_title' WHEN w = 2 THEN '2word_other' ELSE '3plus_words' END AS form FROM f)
@@ -80,17 +100,13 @@ ORACLE = {
         k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY b.m, b.w, b.p) AS rank, sum((NOT b.m)::INT) OVER (PARTITION BY item_id) AS high FROM b),
         l AS (SELECT item_id, list(b.x ORDER BY rank) AS x FROM k WHERE rank <= 3 AND (NOT b.m OR high < 2) GROUP BY item_id)
         SELECT item_id, CASE len(x) WHEN 1 THEN x[1] WHEN 2 THEN x[1] || ' and ' || x[2] ELSE x[1] || ', ' || x[2] || ', and ' || x[3] END AS text FROM l""",
-    "szf_propagation": f"""WITH RECURSIVE r AS (SELECT p_partkey AS seq, p_brand AS s, ['malware', 'tool', 'indicator'][p_partkey % 3 + 1] AS st, ['uses', 'targets'][p_partkey % 2 + 1] AS p, 'Brand#' || (p_partkey % 60 + 11) AS o, ['tool', 'malware', 'country'][p_partkey % 7 % 3 + 1] AS ot, p_size / 50.0::DOUBLE AS c FROM part),
-        l AS (SELECT *, lower(s) || '::' || st AS a, lower(o) || '::' || ot AS b FROM r),
-        e AS (SELECT * FROM l WHERE p <> 'uses' OR (st IN ('malware', 'tool', 'threat-actor', 'intrusion-set') AND ot IN ('attack-pattern', 'tool', 'infrastructure', 'malware')) QUALIFY row_number() OVER (PARTITION BY a, p, b ORDER BY seq DESC) = 1),
-        n AS (SELECT node, max(c) AS c FROM (SELECT a AS node, c FROM l UNION ALL SELECT b, c FROM l) GROUP BY node), u AS (SELECT e.* FROM e JOIN n ON e.a = n.node WHERE e.c >= {propagate.EDGE_SEED} AND n.c >= {propagate.NODE_SEED}),
-        g(node) AS (SELECT a FROM u UNION SELECT b FROM u UNION SELECT e.b FROM g JOIN e ON e.a = g.node),
-        w AS (SELECT p, c, CASE WHEN (a, p, b) IN (SELECT (a, p, b) FROM u) THEN 'seed' WHEN a IN (SELECT node FROM g) THEN 'forced' ELSE 'kept' END AS state FROM e)
-        SELECT state, p AS predicate, count(*) AS n, round(avg(CASE WHEN state = 'forced' THEN greatest(c, {propagate.FORCED}) ELSE c END), 6) AS confidence FROM w GROUP BY ALL""",
+    "szf_propagation": _SZF + " SELECT state, p AS predicate, count(*) AS n, round(avg(CASE WHEN state <> 'kept' THEN greatest(c, 0.9) ELSE c END), 6) AS confidence FROM w GROUP BY ALL",
+    "szf_nodes": _SZF + """, f AS (SELECT node, min({'k': k, 'name': name, 'kind': kind}) AS f, max(c) AS c FROM ends GROUP BY node)
+        SELECT f.node, f.f.name AS name, f.f.kind AS type, g.node IS NOT NULL AS forced, round(CASE WHEN g.node IS NOT NULL THEN greatest(f.c, 0.9) ELSE f.c END, 6) AS confidence FROM f LEFT JOIN (SELECT DISTINCT node FROM g) g ON f.node = g.node""",
     "counterfactual_shift": _SHIFT + """, j AS (SELECT a.query, a.best <> b.best AS flip, b.gold.rank - a.gold.rank AS gold_rank_delta, round(b.gold.score - a.gold.score, 6) AS gold_score_delta, round(b.margin - a.margin, 6) AS margin_delta, a.top AS x, b.top AS y, least(5, len(a.top), len(b.top)) AS n FROM a JOIN b ON a.query = b.query),
         p AS (SELECT query, coalesce(list_position(x, i), 6) AS p, coalesce(list_position(y, i), 6) AS q FROM (SELECT query, x, y, unnest(list_distinct(x || y)) AS i FROM j)),
         t AS (SELECT u.query, sum(sign(u.p - v.p) * sign(u.q - v.q)) / sqrt(sum(abs(sign(u.p - v.p)))::DOUBLE * sum(abs(sign(u.q - v.q)))) AS tau FROM p u JOIN p v ON u.query = v.query GROUP BY u.query)
         SELECT j.query, flip, gold_rank_delta, gold_score_delta, margin_delta, len(list_intersect(x, y)) AS top_overlap, round(list_sum(list_transform(range(1, n + 1), lambda d: pow(0.8, d - 1) * len(list_intersect(x[1:d], y[1:d])) / d)) * 0.2 / (1 - pow(0.8, n)), 6) AS rbo, round(tau, 6) AS tau FROM j JOIN t USING (query)""",
-    "flip_rates": _SHIFT + """, j AS (SELECT a.best <> b.best AS flip, a.margin - b.margin AS m FROM a JOIN b ON a.query = b.query), g AS (SELECT CASE WHEN m >= 3 THEN 'HIGH' WHEN m >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, count(*) AS n, count(*) FILTER (flip) AS flips FROM j GROUP BY 1), w AS (SELECT *, flips / n AS p, 1.959963984540054::DOUBLE AS z FROM g)
+    "flip_rates": _SHIFT + """, j AS (SELECT a.best <> b.best AS flip, a.margin - b.margin AS m FROM a JOIN b ON a.query = b.query), g AS (SELECT CASE WHEN m >= 0.3 THEN 'HIGH' WHEN m >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, count(*) AS n, count(*) FILTER (flip) AS flips FROM j GROUP BY 1), w AS (SELECT *, flips / n AS p, 1.959963984540054::DOUBLE AS z FROM g)
         SELECT tier, n, flips, round(CASE WHEN flips = 0 THEN 0 ELSE (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n) END, 6) AS low, round(CASE WHEN flips = n THEN 1 ELSE (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n) END, 6) AS high FROM w""",
 }

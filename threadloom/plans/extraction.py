@@ -26,11 +26,11 @@ def pairs_within(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0")
+    return e.where("value >= 20"), e.where("value < 60")
 
 
 def triple_set_scores(spark, sf_dir):
-    """Events of two overlapping samples as predicted and gold (type, day) pairs of users."""
+    """Events of 20 and more as predicted, those under 60 as gold (type, day) pairs of users; every event is in one of them."""
     p, g = (x.select("user_id", "event_type", F.date_format("ts", "dd").alias("day")) for x in _sides(spark, sf_dir))
     out = extraction.set_scores(p, g, "user_id", ["event_type", "day"])
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "samples"})
@@ -54,7 +54,7 @@ QUERIES = {f.__name__: f for f in (reply_parsing, pairs_within, triple_set_score
 ORACLE = {
     "reply_parsing": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS subject, CASE WHEN c_custkey % 4 < 3 THEN c_mktsegment END AS object FROM customer",
     "pairs_within": "WITH e AS (SELECT DISTINCT user_id, event_type || ' ' || strftime(ts, '%d') AS name, event_type AS type FROM events) SELECT a.user_id, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND a.type IN ('click', 'view') AND b.type = 'purchase' GROUP BY 1",
-    "triple_set_scores": f"""WITH e AS (SELECT user_id, event_type, strftime(ts, '%d') AS day, max((event_id % 3 <> 0)::INT) AS p, max((event_id % 2 = 0)::INT) AS g FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0 GROUP BY ALL), s AS (SELECT user_id, sum(p * g) AS h, sum(p) AS np, sum(g) AS ng FROM e GROUP BY 1)
+    "triple_set_scores": f"""WITH e AS (SELECT user_id, event_type, strftime(ts, '%d') AS day, max((value >= 20)::INT) AS p, max((value < 60)::INT) AS g FROM events GROUP BY ALL), s AS (SELECT user_id, sum(p * g) AS h, sum(p) AS np, sum(g) AS ng FROM e GROUP BY 1)
         SELECT count(*) AS samples, round(avg({_DIV('h', 'np')}), 6) AS macro_precision, round(avg({_DIV('h', 'ng')}), 6) AS macro_recall, round(avg({_DIV('2 * h', 'np + ng')}), 6) AS macro_f1,
         round(sum(h) / sum(np), 6) AS micro_precision, round(sum(h) / sum(ng), 6) AS micro_recall, round(2 * sum(h) / (sum(np) + sum(ng)), 6) AS micro_f1 FROM s""",
     "greedy_matching": _TF,

@@ -32,7 +32,7 @@ def graph_edges(spark, sf_dir):
 
 def _nation_edges(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return s.where("s_acctbal > 0 and s_suppkey % 5 = 0").select(F.col("s_nationkey").alias("src"), ((F.col("s_suppkey") * 7) % 25).cast("int").alias("dst")).distinct()
+    return s.select(F.col("s_nationkey").alias("src"), ((F.col("s_nationkey") * 7 + F.floor(F.col("s_suppkey") / 1000) + 1) % 25).cast("int").alias("dst")).distinct()
 
 
 def szf_reachability(spark, sf_dir):
@@ -122,7 +122,7 @@ ORACLE = {
         n AS (SELECT sha256(lower(trim(type)) || '|' || lower(trim(name))) AS id, arg_min(name, (seq % 2) * 1000000000000 + seq) AS name, arg_min(type, seq) AS type, list_sort(list(DISTINCT context)) AS c FROM s GROUP BY 1)
         SELECT id, name, type, len(c) AS n_contexts, md5(array_to_string(c, ',')) AS contexts_md5 FROM n""",
     "graph_edges": _T + " SELECT DISTINCT sha256('actor|' || lower(subject)) AS source, 'DID' AS relation, sha256('action|' || lower(object)) AS target FROM t",
-    "szf_reachability": """WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS src, (s_suppkey * 7) % 25 AS dst FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 5 = 0),
+    "szf_reachability": """WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS src, (s_nationkey * 7 + s_suppkey // 1000 + 1) % 25 AS dst FROM supplier),
         r(node, d) AS (SELECT n_nationkey, 0 FROM nation WHERE n_regionkey = 0 UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON r.node = e.src WHERE r.d < 26) SELECT node, min(d) AS distance FROM r GROUP BY node""",
     "hierarchy_expand": "WITH p AS (SELECT c_custkey AS q, 'n' || c_nationkey AS id FROM customer UNION SELECT c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT id, count(*) AS n FROM p GROUP BY id",
     "error_taxonomy": """WITH RECURSIVE f AS (SELECT p_partkey AS k, p_size AS s FROM part), x AS (SELECT k, [k, k + (s % 3) * 2, k + s] AS ks, [s, s + 1, s + 2] AS ss FROM f),

@@ -43,11 +43,11 @@ def response_scores(spark, sf_dir):
 
 
 def run_comparison(spark, sf_dir):
-    """Best events of users by value, against those by value rounded down, in odd users and even ones."""
-    e = table(spark, sf_dir, "events")
-    best = lambda df: df.groupBy("user_id").agg(F.max(F.struct("score", (-F.col("event_id")).alias("i"))).alias("b")).select(F.col("user_id").alias("query"), (-F.col("b.i")).alias("best"), F.col("b.score").alias("score"))
-    new = best(e.where("user_id % 7 <> 0").withColumn("score", F.col("value")))
-    old = best(e.where("user_id % 5 <> 0").withColumn("score", F.floor("value").cast("double")))
+    """Best events of a user and type by value among those of 30 and more, against those by value rounded down under 70; every event is in one of them."""
+    e = table(spark, sf_dir, "events").withColumn("query", F.concat_ws("-", "user_id", "event_type"))
+    best = lambda df: df.groupBy("query").agg(F.max(F.struct("score", (-F.col("event_id")).alias("i"))).alias("b")).select("query", (-F.col("b.i")).alias("best"), F.col("b.score").alias("score"))
+    new = best(e.where("value >= 30").withColumn("score", F.col("value")))
+    old = best(e.where("value < 70").withColumn("score", F.floor("value").cast("double")))
     return datasets.compare_runs(new, old, [0.0, 0.1, 0.5, 1.0]).withColumn("bucket", F.col("bucket").cast("long"))
 
 
@@ -64,7 +64,8 @@ ORACLE = {
         s AS (SELECT *, upper(CASE k % 5 WHEN 0 THEN 'no idea' WHEN 1 THEN 'It is ' || lower(g1) || '.001.' WHEN 2 THEN o ELSE '(' || g2 || ')' END) AS t, k % 13 <> 0 AS fine FROM r), f AS (SELECT *, nullif(regexp_extract(t, '\b(TA\d{4}|T\d{4}(?:\.\d{3})?|[SGM]\d{4})\b', 1), '') AS x FROM s),
         m AS (SELECT *, coalesce(x IN (g1, g2), false) AS strict, coalesce(x IN (g1, g2) OR (x <> g1 AND split_part(x, '.', 1) = g1) OR (x <> g2 AND split_part(x, '.', 1) = g2), false) AS lenient FROM f)
         SELECT count(*) AS n, count(*) FILTER (NOT fine) AS errors, count(*) FILTER (fine AND x IS NULL) AS no_id, round(avg(strict::INT) FILTER (fine), 6) AS strict, round(avg(lenient::INT) FILTER (fine), 6) AS lenient, round(avg(latency) FILTER (fine), 6) AS latency FROM m""",
-    "run_comparison": """WITH a AS (SELECT user_id, -max({'s': value, 'i': -event_id}).i AS best, max(value) AS score FROM events WHERE user_id % 7 <> 0 GROUP BY 1), b AS (SELECT user_id, -max({'s': floor(value), 'i': -event_id}).i AS best, max(floor(value)) AS score FROM events WHERE user_id % 5 <> 0 GROUP BY 1),
-        j AS (SELECT a.user_id AS x, b.user_id AS y, a.best <> b.best AS d, abs(a.score - b.score) AS v FROM a FULL JOIN b ON a.user_id = b.user_id)
+    "run_comparison": """WITH q AS (SELECT *, user_id || '-' || event_type AS q FROM events), a AS (SELECT q, -max({'s': value, 'i': -event_id}).i AS best, max(value) AS score FROM q WHERE value >= 30 GROUP BY 1),
+        b AS (SELECT q, -max({'s': floor(value), 'i': -event_id}).i AS best, max(floor(value)) AS score FROM q WHERE value < 70 GROUP BY 1),
+        j AS (SELECT a.q AS x, b.q AS y, a.best <> b.best AS d, abs(a.score - b.score) AS v FROM a FULL JOIN b ON a.q = b.q)
         SELECT CASE WHEN y IS NULL THEN 'new_only' WHEN x IS NULL THEN 'old_only' WHEN d THEN 'changed' ELSE 'same' END AS state, CASE WHEN v IS NOT NULL THEN (v >= 0)::INT + (v >= 0.1)::INT + (v >= 0.5)::INT + (v >= 1)::INT END AS bucket, count(*) AS n FROM j GROUP BY ALL""",
 }

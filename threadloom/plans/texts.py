@@ -21,7 +21,7 @@ def doc_id_hash(spark, sf_dir):
 
 def doc_text_normalize(spark, sf_dir):
     d = _docs(spark, sf_dir, "text")
-    return d.select("doc_id", F.md5(X.normalize_name(F.col("text"))).alias("name_md5"), F.md5(X.squashed_key(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("key_md5"), X.relation_type(F.regexp_replace(F.substring("text", 1, 20), r"[^\x00-\x7F]", "")).alias("relation"))
+    return d.select("doc_id", F.md5(X.normalize_name(F.col("text"))).alias("name_md5"), F.md5(X.squashed_key(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("key_md5"), F.md5(X.relation_type(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("relation_md5"))
 
 
 def page_markdown_clean(spark, sf_dir):
@@ -109,7 +109,7 @@ QUERIES = {f.__name__: f for f in (doc_id_hash, doc_text_normalize, page_markdow
 ORACLE = {
     "doc_id_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id, sha256(lower(trim(source)) || '|' || lower(trim(lang))) AS node_id, substr(sha1(source || '|' || text), 1, 12) AS query_id, sha1(text) AS text_sha1 FROM documents",
     "doc_text_normalize": r"""SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS name_md5, md5(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^\w]+', '', 'g')) AS key_md5,
-        CASE WHEN r = '' THEN 'RELATED_TO' ELSE r END AS relation FROM (SELECT *, regexp_replace(upper(trim(regexp_replace(substr(text, 1, 20), '[^\x00-\x7F]', '', 'g'), ' ')), '[^A-Z0-9]+', '_', 'g') AS r FROM documents)""",
+        md5(CASE WHEN r = '' THEN 'RELATED_TO' ELSE r END) AS relation_md5 FROM (SELECT *, regexp_replace(upper(trim(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' ')), '[^A-Z0-9]+', '_', 'g') AS r FROM documents)""",
     "page_markdown_clean": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('[see](' || url || ') is  used by [it](x) (Citation: ' || page_id || ') at ' || url || ' ( ) , often .',
         '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'g'), '\(Citation:\s*[^)]*\)', '', 'g'), '\(\s*\)', '', 'g'), '  +', ' ', 'g'), '\s+([.,;:])', '\1', 'g')) AS clean FROM pages""",
     "doc_sentence_split": f"SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS chars, max(length(s)) AS longest FROM (SELECT doc_id, unnest({_SENT}) AS s FROM documents) GROUP BY doc_id",

@@ -62,7 +62,7 @@ def chunk_sentences(spark, sf_dir):
     return chunking.chunked(d.withColumn("vec", chunking.hashed_vector(F.col("sentence"))), "doc_id")
 
 
-def _list(values: list[str]) -> str:
+def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
@@ -70,8 +70,8 @@ def _case(values: dict[str, str], x: str) -> str:
     return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in values.items()) + f" ELSE {x} END"
 
 
-_DOM = " ".join(f"WHEN '{p}' THEN list_contains({_list(d.split())}, st)" for p, (d, _) in triples.DOMAIN_RANGE.items())
-_RNG = " ".join(f"WHEN '{p}' THEN list_contains({_list(r.split())}, ot)" for p, (_, r) in triples.DOMAIN_RANGE.items())
+_DOM = " ".join(f"WHEN '{p}' THEN list_contains({_list(d)}, st)" for p, (d, _) in triples.DOMAIN_RANGE.items())
+_RNG = " ".join(f"WHEN '{p}' THEN list_contains({_list(r)}, ot)" for p, (_, r) in triples.DOMAIN_RANGE.items())
 _V = f"""WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 17 = 0 THEN '  ' ELSE p_name END AS sn, {_list(_S)}[p_partkey % 6 + 1] AS s, {_list(_P)}[p_partkey % 7 + 1] AS p, p_brand AS onm, {_list(_O)}[(p_partkey // 3) % 6 + 1] AS o FROM part),
     c AS (SELECT *, replace(replace(lower(trim(s)), ' ', ''), '_', '-') AS s0, replace(replace(lower(trim(o)), ' ', ''), '_', '-') AS o0, replace(lower(trim(p)), ' ', '_') AS p0 FROM r),
     d AS (SELECT *, {_case(triples.TYPE_ALIASES, 's0')} AS st, {_case(triples.TYPE_ALIASES, 'o0')} AS ot, {_case(triples.PREDICATE_ALIASES, 'p0')} AS pp FROM c),
