@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.session import scratch
+from threadloom.session import written
 
 
 def nodes_of(triples: DataFrame) -> DataFrame:
@@ -41,14 +39,8 @@ def reach(seeds: DataFrame, edges: DataFrame, most_sweeps: int = 50, folder: str
 
     Every sweep is written to a shared folder and read again, so lineage doesn't grow with the sweeps and a lost executor costs one.
     """
-    spark = seeds.sparkSession
-    folder = folder or scratch(spark)
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{folder}/reach-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    cut = lambda df: written(df, "reach", folder)
+    edges = cut(edges.select("src", "dst"))
     found = cut(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
     front = found
     for sweep in range(1, most_sweeps + 1):

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import stats
 from threadloom.functions import text as X
+from threadloom.operators.kernels import exact_sign_flip
 from threadloom.operators.running import running
 
 
-EXACT_COINS = 20_000
-
-
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """pairs(a, b) of 0/1 -> the table, chi-squared with and without correction, exact and mid p."""
     n = lambda x, y: F.sum(F.when((F.col("a") == x) & (F.col("b") == y), 1).otherwise(0)).cast("long")
@@ -82,7 +80,8 @@ def paired_effects(diffs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sign_flip(diffs: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """diffs(id, d): Monte Carlo sign-flip p of the mean, (1 + hits) / (1 + replicates), with hash signs."""
+    """diffs(id, d): Monte Carlo sign-flip p of the mean, (1 + hits) / (1 + replicates), with hash signs. ``sign_flip_tests`` takes the
+    exact value where few differences allow it."""
     seen = diffs.agg(F.abs(F.sum("d")).alias("t"))
     sign = F.when(X.hash_draw(F.lit(seed), F.col("r"), F.col("id")) < 0.5, -1).otherwise(1)
     rows = diffs.select("id", "d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
@@ -91,25 +90,50 @@ def sign_flip(diffs: DataFrame, replicates: int, seed: int) -> DataFrame:
     return hits.select(((1 + F.col("x")) / (1.0 + replicates)).alias("p"))
 
 
+EXACT_FLIPS = 20  # fixed value: up to so many differences every sign pattern is tried
+
+
+def sign_flip_tests(diffs: DataFrame, by: list[str], replicates: int = 20_000, seed: int = 42) -> DataFrame:
+    """diffs(by, id, d): sign-flip test of the mean per group: mean, p, n, 'exact' with the share of all 2^n patterns for up to EXACT_FLIPS
+    differences, else 'monte_carlo' with (1 + hits) / (1 + replicates). Null differences are left out.
+
+    Exact groups are enumerated where their few rows meet; large ones are summed map-side per replicate and never meet."""
+    rows = diffs.where("d is not null")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.sum("d").alias("total"))
+    small = rows.join(sizes.where(F.col("n") <= EXACT_FLIPS).select(*by), by, "left_semi").groupBy(*by).agg(F.collect_list("d").alias("ds"))
+    exact = small.select(*by, F.udf(lambda ds: exact_sign_flip(ds), "double")("ds").alias("p"), F.lit("exact").alias("method"))
+    large = rows.join(sizes.where(F.col("n") > EXACT_FLIPS).select(*by), by, "left_semi").select(*by, "id", "d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    sign = F.when(X.hash_draw(F.lit(seed), F.col("r"), F.col("id")) < 0.5, -1).otherwise(1)
+    sums = large.groupBy(*by, "r").agg(F.sum(sign * F.col("d")).alias("s")).join(sizes.select(*by, "total"), by)
+    hits = sums.groupBy(*by).agg(F.sum(F.when(F.abs("s") >= F.abs("total") - 1e-9, 1).otherwise(0)).alias("x"))
+    drawn = hits.select(*by, ((1 + F.col("x")) / (1.0 + replicates)).alias("p"), F.lit("monte_carlo").alias("method"))
+    return sizes.select(*by, "n", "mean").join(exact.union(drawn), by)
+
+
+def sign_tests(diffs: DataFrame, by: list[str]) -> DataFrame:
+    """diffs(by, d): counts of positive, negative and zero differences and the exact two-sided binomial p, 1 if none differs from zero."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    s = diffs.where("d is not null").groupBy(*by).agg(n(F.col("d") > 0).alias("n_pos"), n(F.col("d") < 0).alias("n_neg"), n(F.col("d") == 0).alias("n_zero"))
+    exact, _ = stats.mcnemar_exact(F.col("n_pos"), F.col("n_neg"))
+    return s.select(*by, "n_pos", "n_neg", "n_zero", (F.col("n_pos") + F.col("n_neg") + F.col("n_zero")).alias("n_paired"), (F.col("n_pos") + F.col("n_neg")).alias("n_nonzero"), exact.alias("p_value"))
+
+
+def paired_risk_difference(a: DataFrame, b: DataFrame, replicates: int = 9999, seed: int = 42) -> DataFrame:
+    """a(query, rate) and b(query, rate): mean of the differences over the queries of both, with a percentile interval over resampled queries."""
+    d = a.select("query", F.col("rate").alias("x")).join(b.select("query", F.col("rate").alias("y")), "query").select(F.col("query").alias("cluster"), (F.col("x") - F.col("y")).alias("s"), F.lit(1).alias("n"))
+    mean = d.agg(F.avg("s").alias("risk_diff"), F.count("*").alias("n_queries"))
+    return cluster_bootstrap(d, replicates, seed).select("low", "high").join(F.broadcast(mean)).select("risk_diff", F.col("low").alias("ci_lo"), F.col("high").alias("ci_hi"), "n_queries")  # one row
+
+
 def median_sign_interval(diffs: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
     """Median and the order statistics of the sign-test interval, per group, from ranks over ranges of the values.
 
-    The place k is the last with 2 P(X <= k) within 1 - level for n fair coins (0 if there is none), from exact terms up to
-    ``EXACT_COINS`` values and from the normal approximation beyond.
+    The place k is the last with 2 P(X <= k) within 1 - level for n fair coins, 0 if there is none (``stats.sign_place``, a call a group).
     """
-    n, alpha = F.col("n"), 1 - level
-    half = n * F.log(F.lit(2.0))
-
-    def step(a, j):
-        term = F.when(j == 0, -half).otherwise(a["l"] + F.log((n - j + 1) / F.greatest(j, F.lit(1)).cast("double")))
-        total = a["s"] + F.exp(term)
-        return F.struct(term.alias("l"), total.alias("s"), F.when(2 * total <= alpha, j).otherwise(a["k"]).alias("k"))
-
-    start = F.struct((-half).alias("l"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("k"))
-    exact = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 2)), start, step)["k"]
-    k = F.when(n <= EXACT_COINS, exact).otherwise(F.floor((n - 1 - stats.Z95 * F.sqrt("n")) / 2))
+    n = F.col("n")
+    place = F.udf(lambda size: stats.sign_place(size, 1 - level), "long")
     rows = diffs.where("d is not null")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", k)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", place("n"))
     ranked = running(rows.select(*by, "d"), "d", [F.asc("d")], {"rank": ("sum", F.lit(1))}, partition=by)
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("d")))
     joined = ranked.join(sizes, by).where("rank in (k + 1, n - k, floor((n + 1) / 2), floor(n / 2) + 1)")

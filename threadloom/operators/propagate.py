@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.graph import reach
+from threadloom.session import written
 
 # Confidences from which nodes and edges are forced by themselves, the least confidence of what is forced, guarded predicates.
 NODE_SEED, EDGE_SEED, FORCED = 0.80, 0.75, 0.9
@@ -47,8 +48,10 @@ def run(triples: DataFrame, most_sweeps: int = 50, folder: str | None = None) ->
     last = F.struct("s_type", "o_type", "confidence")
     edges = rows.groupBy("source", "predicate", "target").agg(F.max_by(last, "seq").alias("e")).select("source", "predicate", "target", "e.*")
     edges = edges.where(compatible(F.col("s_type"), F.col("predicate"), F.col("o_type"))).withColumn("seed", F.col("confidence") >= EDGE_SEED)
+    edges = written(edges, "propagate", folder)
     side = lambda node, tag, place: rows.select(F.col(node).alias("node"), F.struct((2 * F.col("seq") + place).alias("k"), F.col(f"{tag}_name").alias("name"), F.col(f"{tag}_type").alias("type")).alias("first"), half(f"{tag}_confidence").alias("c"))
     nodes = side("source", "s", 0).union(side("target", "o", 1)).groupBy("node").agg(F.min("first").alias("f"), F.max("c").alias("c"))
+    nodes = written(nodes, "propagate", folder)
     sure = edges.where("seed")
     start = nodes.where(F.col("c") >= NODE_SEED).select("node").union(sure.select("source")).union(sure.select("target")).distinct()
     links = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -40,6 +41,13 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and what follows computes it once."""
+    path = f"{folder or scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
