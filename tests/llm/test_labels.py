@@ -24,7 +24,7 @@ def brute_cosine(a, b, corpus):
 def test_scores_match_brute_force(spark):
     corpus = sorted({t for _, t in L.TEMPLATES})
     units = ["Licensed under the Apache License, Version 2.0", "licensed under the MIT License ok", "Licensed under CC BY-NC 4.0.", "a license of my own", "This work is licensed under the GNU General Public License, version 3!"]
-    got = {r.unit: (r.license, r.similarity) for r in L.score(spark.createDataFrame([(u,) for u in units], "unit string"), L.templates(spark)).collect()}
+    got = {r.unit_id: (r.license, r.similarity) for r in L.score(spark.createDataFrame([(u, u) for u in units], "unit_id string, unit string"), L.templates(spark)).collect()}
     for u in units:
         best = max((round(brute_cosine(u, t, corpus), 6), name) for name, t in L.TEMPLATES)
         assert (u in got) == (best[0] >= L.SIMILARITY)
@@ -66,7 +66,7 @@ def test_real_licence_files_and_headers(spark):
 def test_ties_go_by_place_then_name(spark):
     known = spark.createDataFrame([("B", "licensed by terms of one kind"), ("A", "licensed by terms of one kind"), ("C", "license two of another sort")], "license string, text string")
     text = "license two of another sort\nlicensed by terms of one kind"
-    rows = [(1, "x", text), (2, "y", "licence z\nlicensed by terms of one kind\n"), (3, "x", text)]
+    rows = [(1, "x", text), (2, "y", "license z\nlicensed by terms of one kind\n"), (3, "x", text)]
     got = {r.file_id: r.license for r in L.license_scan(spark.createDataFrame(rows, FILES), known).collect()}
     assert got == {1: "C", 2: "A", 3: "C"}
 
@@ -124,3 +124,7 @@ def test_classifier_on_odd_tables(make):
     rows = W.classify(docs).collect()
     assert len(rows) == 5 and len({r.score for r in rows if r.doc_id == 3}) == 1 and len({r.score for r in rows if r.doc_id in (None, 1)}) == 1
     assert W.classify(docs.limit(0)).collect() == []
+
+
+def test_every_template_holds_a_cue(spark):
+    assert spark.createDataFrame(L.TEMPLATES, "license string, text string").where(~F.col("text").rlike(L.CUE)).collect() == []

@@ -42,9 +42,9 @@ t(license, unit) AS (SELECT DISTINCT * FROM (VALUES {_TEMPLATES})),
 tt AS (SELECT license, unit, term, 1 + ln(count(*)) AS tf FROM (SELECT license, unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM t) GROUP BY ALL),
 idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
 tw AS (SELECT license, unit AS template, term, tf * idf AS w FROM tt JOIN idf USING (term)), tl AS (SELECT license, template, sqrt(sum(w * w)) AS length FROM tw GROUP BY ALL),
-p AS (SELECT rid, path, folder, named, regexp_replace(chr(10) || replace(text, chr(13), ''), '{_MARK}', chr(10), 'g') AS plain FROM d WHERE named OR regexp_matches(text, '{licenses.CUE}')),
+p AS (SELECT rid, path, folder, named, regexp_replace(chr(10) || replace(text, chr(13), ''), '{_MARK}', chr(10), 'g') AS plain FROM d WHERE regexp_matches(text, '{licenses.CUE}')),
 u AS (SELECT rid, path, folder, named, {_FLAT.format('plain')} AS whole, list_append(string_split(plain, chr(10)) || string_split_regex(plain, '\n\n+'), plain) AS parts FROM p),
-l AS (SELECT *, unit = whole AS is_whole FROM (SELECT rid, path, folder, named, whole, k, {_FLAT.format('parts[k]')} AS unit FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM u)) WHERE regexp_matches(unit, '{licenses.CUE}') OR (named AND unit <> '')),
+l AS (SELECT *, unit = whole AS is_whole FROM (SELECT rid, path, folder, named, whole, k, {_FLAT.format('parts[k]')} AS unit FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM u)) WHERE regexp_matches(unit, '{licenses.CUE}')),
 ut AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM (SELECT DISTINCT unit FROM l)) GROUP BY ALL),
 uw AS (SELECT unit, term, tf * coalesce(idf, ln(1.0::DOUBLE + (SELECT count(*) FROM t)) + 1) AS w FROM ut LEFT JOIN idf USING (term)), ul AS (SELECT unit, sqrt(sum(w * w)) AS size FROM uw GROUP BY unit),
 s AS (SELECT unit, license, template, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL),

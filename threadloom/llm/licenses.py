@@ -1,8 +1,8 @@
 r"""License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-* Units of a file are, without comment marks, its lines that hold a licence cue (``CUE``), its paragraphs that hold one (a header of several
-  lines is one), and its whole text if that holds one; of files named like licence files, all of them. Each distinct unit is scored once,
-  however many files hold it. Templates are notices, tags, titles, headers and whole texts.
+* Units of a file that holds a licence cue (``CUE``) are, without comment marks, its lines and its paragraphs that hold one (a header of
+  several lines is one), and its whole text. Every template holds a cue. Each distinct unit is scored once, however many files hold it, and
+  goes by its hash, so that no join carries texts. Templates are notices, tags, titles, headers and whole texts.
 * Weights are (1 + ln tf) * idf with idf = ln((1 + n) / (1 + df)) + 1 over the templates; a term no template has weighs as one with
   df 0. Scores come from a join of unit terms with template terms; the template table is counted before it is broadcast.
 * A file has the licence of its best unit if its cosine reaches ``SIMILARITY``. Licence files are files named like one that have a licence,
@@ -96,9 +96,9 @@ def _term_table(units: DataFrame, key: str) -> DataFrame:
 
 
 def score(units: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct ``unit`` texts -> (unit, license, similarity) of the best template, where it reaches SIMILARITY."""
+    """Distinct units(unit_id, unit) -> (unit_id, license, similarity) of the best template, where it reaches SIMILARITY."""
     kept = known.select("license", F.col("text").alias("unit")).where("unit is not null").distinct()
-    kept = materialise(kept.withColumn("template", F.sha2(F.concat_ws("\n", "license", "unit"), 256)), "licence-templates")
+    kept = materialise(kept.withColumn("template", F.xxhash64("license", "unit")), "licence-templates")
     n = kept.count()
     counts = _term_table(kept, "template")
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
@@ -106,14 +106,15 @@ def score(units: DataFrame, known: DataFrame) -> DataFrame:
     weighed = counts.join(df, "term").select("template", "term", (F.col("tf") * idf(F.col("df"))).alias("w"), idf(F.col("df")).alias("idf"))
     lengths = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     table = materialise(weighed.join(lengths, "template").join(kept.select("template", "license"), "template"), "licence-terms")
-    own = _term_table(units.select("unit").distinct(), "unit")
+    own = _term_table(units, "unit_id")
     vocabulary = checked_broadcast(table.select("term", "idf").distinct())
-    own = own.join(vocabulary, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(0.0) + idf(F.lit(0)))).drop("idf")
-    own = materialise(own, "licence-units")
-    size = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = own.join(checked_broadcast(table.withColumnRenamed("w", "tw")), "term").groupBy("unit", "template", "license", "length").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(size, "unit").withColumn("similarity", F.round(F.col("dot") / (F.col("size") * F.col("length")), 6)).where(F.col("similarity") >= SIMILARITY)
-    return scored.groupBy("unit").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("unit", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
+    own = own.join(vocabulary, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(0.0) + idf(F.lit(0)))).drop("tf")
+    # a term that no template has counts for the length only, and all of them are one number
+    size = own.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    shared = own.where("idf is not null").drop("idf")
+    dots = shared.join(checked_broadcast(table.withColumnRenamed("w", "tw").drop("idf")), "term").groupBy("unit_id", "template", "license", "length").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(size, "unit_id").withColumn("similarity", F.round(F.col("dot") / (F.col("size") * F.col("length")), 6)).where(F.col("similarity") >= SIMILARITY)
+    return scored.groupBy("unit_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select("unit_id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
 
 
 def directory(path: Column) -> Column:
@@ -128,15 +129,15 @@ def ancestors(folder: Column) -> Column:
 
 
 def _units(files: DataFrame) -> DataFrame:
-    """(file_id, path, place, unit, named, is_whole) of files(file_id, path, text)."""
+    """(file_id, path, place, unit_id, unit, named, is_whole) of files(file_id, path, text)."""
     name = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1)
-    own = files.withColumn("named", name.rlike(LICENSE_FILE)).where(F.col("text").rlike(CUE) | F.col("named"))
     plain = F.regexp_replace(F.concat(F.lit("\n"), F.replace("text", F.lit("\r"), F.lit(""))), MARK, "\n")
     flat = lambda x: F.trim(F.regexp_replace(x, r"[ \t\n]+", " "))
-    own = own.select("file_id", "path", "named", plain.alias("plain"))
+    own = files.where(F.col("text").rlike(CUE)).select("file_id", "path", name.rlike(LICENSE_FILE).alias("named"), plain.alias("plain"))
     parts = F.array_append(F.concat(F.split("plain", "\n"), F.split("plain", "\n\n+")), F.col("plain"))
-    rows = own.select("file_id", "path", "named", flat(F.col("plain")).alias("whole"), F.posexplode(F.transform(parts, flat)).alias("place", "unit"))
-    return rows.where(F.col("unit").rlike(CUE) | (F.col("named") & (F.col("unit") != ""))).select("file_id", "path", "place", "unit", "named", (F.col("unit") == F.col("whole")).alias("is_whole"))
+    numbered = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("place"), flat(x).alias("unit"))), lambda x: x["unit"].rlike(CUE))
+    rows = own.select("file_id", "path", "named", F.sha2(flat(F.col("plain")), 256).alias("whole"), F.explode(numbered).alias("u")).select("file_id", "path", "named", "whole", "u.*")
+    return rows.withColumn("unit_id", F.sha2("unit", 256)).select("file_id", "path", "place", "unit_id", "unit", "named", (F.col("unit_id") == F.col("whole")).alias("is_whole"))
 
 
 def license_scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -144,10 +145,10 @@ def license_scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known if known is not None else templates(files.sparkSession)
     own = files.select("file_id", F.col("path"), text_of().alias("text"))
     units = materialise(_units(own), "licence-units")
-    best = score(units, known)
+    best = score(units.groupBy("unit_id").agg(F.first("unit").alias("unit")), known)
     rank = F.struct((F.col("license") == WEAK).alias("weak"), (-F.col("similarity")).alias("s"), "place", "license")
     passes = F.col("named") | (F.col("is_whole") & (F.col("similarity") >= WHOLE))
-    matched = units.join(best, "unit").groupBy("file_id", "path").agg(F.min(rank).alias("m"), F.min(F.when(passes, rank)).alias("w"))
+    matched = units.drop("unit").join(best, "unit_id").groupBy("file_id", "path").agg(F.min(rank).alias("m"), F.min(F.when(passes, rank)).alias("w"))
     matched = materialise(matched, "licence-matches")
 
     licensed = matched.where("w is not null and path is not null").groupBy(directory(F.col("path")).alias("folder")).agg(
