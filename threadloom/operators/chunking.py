@@ -1,10 +1,12 @@
-"""Sentence chunkers by page or document; sequential, so one group at a time in Arrow batches."""
+"""Sentence chunkers by page or document; sequential, so one document at a time in Arrow batches."""
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,20 @@ def page_text(items: DataFrame) -> DataFrame:
     return items.groupBy("page").agg(F.array_join(ordered, " ").alias("text"))
 
 
+#: Vectors a block of a group holds on average.
+BLOCK_ROWS = 20_000
+
+
 def min_pairwise_cosine(vectors: DataFrame, by: str) -> DataFrame:
     """vectors(by, vec): least cosine of two different vectors of a group, 1 for fewer than two.
 
-    Groups are compared block by block, so no task holds a whole group twice over.
+    Groups are compared block by block, in as many blocks as a group's counted rows ask for, so no task holds a whole group twice over.
     """
-    blocks = 8
-    rows = vectors.where("vec is not null").select(by, "vec", F.pmod(F.hash("vec"), F.lit(blocks)).alias("b"), F.monotonically_increasing_id().alias("i"))
-    left = rows.select(by, F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("y"), "vec", "i")
-    right = rows.select(by, F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), "vec", "i")
+    rows = vectors.where("vec is not null")
+    blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.select(by, "vec", F.monotonically_increasing_id().alias("i")).join(blocks, by).withColumn("b", F.pmod(F.hash("vec"), F.col("blocks")))
+    left = rows.select(by, F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("y"), "vec", "i")
+    right = rows.select(F.col(by).alias(by), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.col("vec").alias("vec"), F.col("i").alias("i"))
     kind = dict(vectors.dtypes)[by]
 
     def least(a, b):
@@ -128,6 +135,38 @@ def chunked(sentences: DataFrame, by: str, least: float = 0.25, most_words: int
     return sentences.select(by, "k", "sentence", "vec").groupBy(by).applyInPandas(run, f"{by} {kind}, chunk int, first int, last int, text string")
 
 
+def chunked_texts(docs: DataFrame, by: str, embed: Callable | None = None, least: float = 0.25, most_words: int = 380, ahead: int = 6, overlap_words: int = 120) -> DataFrame:
+    """docs(by, sentences array) -> (by, chunk, first, last, text) as chunked() gives. A document is a row, so nothing is shuffled; ``embed`` gives a
+    matrix of vectors for a list of sentences (hashed_vectors without one)."""
+    kind, embed = dict(docs.dtypes)[by], embed or hashed_vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if text := text.as_py():
+                    spans = chunk_spans(embed(text), [len(s.split()) for s in text], least, most_words, ahead, overlap_words)
+                    rows += [(key, c, a, b - 1, " ".join(text[a:b])) for c, (a, b) in enumerate(spans)]
+            if rows:
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[by, "chunk", "first", "last", "text"])
+
+    return docs.select(by, "sentences").mapInArrow(run, f"{by} {kind}, chunk int, first int, last int, text string")
+
+
+def hashed_vectors(sentences: list[str], size: int = 16):
+    """hashed_vector of each sentence, in a task's own process."""
+    import numpy as np
+    import xxhash
+
+    out, of = np.zeros((len(sentences), size)), xxhash.xxh64_intdigest
+    for k, s in enumerate(sentences):
+        for w in s.lower().split():
+            x = of(w.encode("utf-8", "surrogatepass"), 42)
+            out[k, (x - (1 << 64) if x >> 63 else x) % size] += 1.0
+    return out
+
+
 def hashed_vector(text: Column, size: int = 16) -> Column:
     """Stand-in for an embedding model: counts of words by hash bucket."""
     words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")

@@ -9,6 +9,7 @@ from threadloom.functions import stats
 from threadloom.functions import text as X
 from threadloom.operators.kernels import exact_sign_flip
 from threadloom.operators.running import running
+from threadloom.session import written
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
@@ -55,13 +56,19 @@ def adjust(tests: DataFrame) -> DataFrame:
     return up.select("id", "p", F.least(F.lit(1.0), "holm").alias("holm"), F.least(F.lit(1.0), "bh").alias("bh"))
 
 
+MOST_CLUSTERS = 500_000
+
+
 def cluster_bootstrap(clusters: DataFrame, replicates: int, seed: int) -> DataFrame:
     """clusters(cluster, s, n): percentile interval of sum(s) / sum(n) over resamples of clusters by hash draws.
 
-    Clusters are numbered once; a replicate's draws meet them in a join and leave it as partial sums per replicate.
+    Clusters are numbered once. If they are few enough to broadcast, which is counted, draws are made, matched and summed where they are, and only a
+    sum per replicate and task is shuffled; else a replicate's draws meet the clusters in a join.
     """
-    numbered = running(clusters, "cluster", [F.col("cluster")], {"k": ("sum", F.lit(1))}).select("k", "s", "n")
-    count = clusters.agg(F.count("*").alias("m"))
+    numbered = written(running(clusters, "cluster", [F.col("cluster")], {"k": ("sum", F.lit(1))}).select("k", "s", "n"), "clusters")
+    m = numbered.count()
+    numbered = F.broadcast(numbered) if m <= MOST_CLUSTERS else numbered
+    count = numbered.agg(F.count("*").alias("m"))
     draws = clusters.sparkSession.range(replicates).withColumnRenamed("id", "replicate").join(F.broadcast(count))  # one row
     draws = draws.select("replicate", "m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("j"))
     draws = draws.select("replicate", (F.floor(X.hash_draw(F.lit(seed), F.col("replicate"), F.col("j")) * F.col("m")) + 1).alias("k"))

@@ -2,7 +2,9 @@
 
 Both are joins of query terms with postings, so a pair costs only where it shares a term, and all corpus statistics are
 aggregates. Terms travel as 64-bit hashes. Texts are dealt by document once; counting terms, scoring and summing by document need no
-further shuffle of postings. Ties go to the smaller document.
+further shuffle of postings: document frequencies are counted map-side, and the vocabulary's weights go to the postings by broadcast if it is
+small enough, which is counted, so a word of most documents is no hot key. The best k of a query are found in every task before they
+meet (Spark's group limit below the window). Ties go to the smaller document.
 """
 
 from __future__ import annotations
@@ -10,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import written
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms whose weights are broadcast, 16 bytes each.
+MOST_TERMS = 2_000_000
 
 
 def _counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -62,12 +68,13 @@ def tfidf_cosine(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Top k by cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) vectors over the documents' vocabulary: (query, doc, score, rank)."""
     tf, own = _counts(docs, "doc", grams(F.col("text"))), _counts(queries, "query", grams(F.col("text")))
     n = docs.agg(F.count("*").cast("double").alias("n"))
-    dealt = tf.repartition("term")  # once, for frequencies and lengths
-    idf = dealt.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = written(idf, "idf")
+    weighted = tf.join(_sent(idf, idf, MOST_TERMS), "term")
     w = (1 + F.log("tf")) * F.col("idf")
     length = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(w * w)).alias(name))
     known = own.join(idf, "term")
     qw = known.select("query", "term", (w * F.col("idf")).alias("qw"))  # with the idf of the document's side
     dots = tf.join(_sent(qw, own), "term").groupBy("query", "doc").agg(F.sum((1 + F.log("tf")) * F.col("qw")).alias("dot"))
-    scored = dots.join(length(dealt.join(idf, "term"), "doc", "dl"), "doc").join(length(known, "query", "ql"), "query")
+    scored = dots.join(length(weighted, "doc", "dl"), "doc").join(length(known, "query", "ql"), "query")
     return _top(scored.select("query", "doc", (F.col("dot") / (F.col("dl") * F.col("ql"))).alias("score")), k)

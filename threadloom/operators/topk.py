@@ -1,8 +1,8 @@
 """Exact vector top-k: blocks of query vectors against blocks of targets.
 
-Vectors travel once per block row or column, a partition never holds more than two blocks, and each
-block pair keeps only its local top k before the final merge, so the shuffle after scoring is
-``queries x target blocks x k`` narrow rows.
+Blocks have at most ``BLOCK_ROWS`` vectors on average, so their number follows the counted rows and what a task holds doesn't. Vectors
+travel once per block row or column, a partition never holds more than two blocks, and each block pair keeps only its local top k
+before the final merge, so the shuffle after scoring is ``queries x target blocks x k`` narrow rows.
 """
 
 from __future__ import annotations
@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 SCHEMA = "query_id long, target_id long, cosine double, dot double, euclidean double"
 
 
-def topk(queries: DataFrame, targets: DataFrame, k: int, query_blocks: int = 4, target_blocks: int = 4, same_set: bool = True) -> DataFrame:
+#: Vectors a block holds on average, and blocks a side has at least, for parallelism on small inputs.
+BLOCK_ROWS, LEAST_BLOCKS = 50_000, 4
+
+
+def block_count(df: DataFrame) -> int:
+    return max(LEAST_BLOCKS, -(-df.count() // BLOCK_ROWS))
+
+
+def topk(queries: DataFrame, targets: DataFrame, k: int, query_blocks: int | None = None, target_blocks: int | None = None, same_set: bool = True) -> DataFrame:
     """``queries``/``targets``: (id, vec array<double>). Returns (query_id, target_id, cosine, dot, euclidean, rank).
 
     Ordered by cosine descending, then target id; a row never matches itself when ``same_set``.
-    Zero vectors score 0. Null vectors take no part.
+    Zero vectors score 0. Null vectors take no part. Block numbers are counted from the rows unless given.
     """
+    query_blocks, target_blocks = query_blocks or block_count(queries), target_blocks or block_count(targets)
     q = queries.where("vec is not null").select(
         F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(target_blocks - 1).cast("long"))).alias("tb"),

@@ -58,8 +58,8 @@ def viterbi_smooth(spark, sf_dir):
 
 
 def chunk_sentences(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("k", "sentence"))
-    return chunking.chunked(d.withColumn("vec", chunking.hashed_vector(F.col("sentence"))), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("sentences"))
+    return chunking.chunked_texts(d, "doc_id")
 
 
 def _list(values) -> str:
