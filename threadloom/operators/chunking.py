@@ -173,3 +173,67 @@ def hashed_vector(text: Column, size: int = 16) -> Column:
     # a letter per word for its bucket, and a count per letter; up to 36 buckets
     ordered = F.array_join(F.transform(words, lambda w: F.conv(F.pmod(F.xxhash64(w), F.lit(size)).cast("string"), 10, 36)), "")
     return F.array(*[F.regexp_count(ordered, F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[k])).cast("double") for k in range(size)])
+
+
+def overlapping_spans(vectors, words: list[int], least: float, most_words: int, overlap_words: int, ahead: int) -> list[tuple[int, int]]:
+    """Chunks that grow while the last sentence is at least ``least`` alike (dot product) to each of the ``ahead`` before the next one and the words
+    are under ``most_words``; the next chunk starts back by sentences of ``overlap_words`` words, beyond the start of this one."""
+    import numpy as np
+
+    v = np.asarray(vectors, dtype=float)
+    spans, i, n = [], 0, len(words)
+    while i < n:
+        total, last, j = words[i], i, i + 1
+        while j < n and total < most_words and (v[max(i, j - ahead) : j] @ v[last] >= least).all():
+            total, last, j = total + words[j], j, j + 1
+        spans.append((i, j))
+        if j >= n:
+            break
+        start, back, seen = i, j - 1, 0
+        while back > start and seen < overlap_words:
+            seen += words[back]
+            back -= 1
+        i = max(back + 1, start + 1) if overlap_words > 0 else j
+    return spans
+
+
+def coalesce_halving(spans: list[tuple[int, int]], words: list[int], least: int, most: int) -> list[tuple[int, int]]:
+    """A chunk under ``least`` words takes up the next one; one over ``most`` is cut once, in the middle of its sentences."""
+    merged: list[tuple[int, int]] = []
+    for a, b in spans:
+        if merged and sum(words[merged[-1][0] : merged[-1][1]]) < least:
+            merged[-1] = (merged[-1][0], b)
+        else:
+            merged.append((a, b))
+    out = []
+    for a, b in merged:
+        middle = (a + b) // 2
+        out += [(a, b)] if sum(words[a:b]) <= most else [(a, middle), (middle, b)]
+    return out
+
+
+def coalesce_buffered(spans: list[tuple[int, int]], words: list[int], likeness: list[float | None], least: int = 160, most: int = 420) -> list[tuple[int, int, float | None]]:
+    """Chunks under ``least`` words, and short ones that still fit, join the one before; those over ``most`` are cut between sentences. ``likeness`` is the
+    least similarity within a chunk; a joined chunk has the least of its parts'."""
+    merged: list[list] = []
+    sizes: list[int] = []
+    for (a, b), alike in zip(spans, likeness, strict=True):
+        size = sum(words[a:b])
+        if merged and (sizes[-1] < least or (size < least and sizes[-1] + size <= most)):
+            held = merged[-1]
+            held[1], sizes[-1] = b, sizes[-1] + size
+            if held[2] is None or (alike is not None and alike < held[2]):
+                held[2] = alike
+        else:
+            merged.append([a, b, alike])
+            sizes.append(size)
+    out = []
+    for (a, b, alike), size in zip(merged, sizes, strict=True):
+        start, held = a, 0
+        for k in range(a, b) if size > most else ():
+            if k > start and held + words[k] > most:
+                out.append((start, k, alike))
+                start, held = k, 0
+            held += words[k]
+        out.append((start, b, alike))
+    return out

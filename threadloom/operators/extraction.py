@@ -112,3 +112,59 @@ def greedy_matches(predicted: DataFrame, gold: DataFrame, by: str, least: float)
     matched = best.groupBy(by, F.col("b.gk").alias("gk")).agg(F.min("pk")).groupBy(by).agg(F.count("*").alias("matched"))
     sizes = rows.groupBy(by).agg(F.sum("side").alias("predicted"), F.sum(1 - F.col("side")).alias("gold"))
     return sizes.join(matched, by, "left").select(by, F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.col("predicted").cast("long").alias("predicted"), F.col("gold").cast("long").alias("gold"))
+
+
+def loose_json_list(reply: Column) -> Column:
+    """Triples between the first and the last square bracket of a reply; none if that is no JSON list. Fences are passed over."""
+    body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\[.*\])", 1)
+    return F.coalesce(F.from_json(F.nullif(body, F.lit("")), f"array<{TRIPLE}>"), F.array().cast(f"array<{TRIPLE}>"))
+
+
+def any_json(reply: Column) -> Column:
+    """Triples of a reply that is a JSON list or one object, in fences or not; else of the list within it; else none."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(reply, F.lit(""))), r"^```(json)?", ""), r"```$", ""))
+    whole = F.when(bare.startswith("["), F.from_json(bare, f"array<{TRIPLE}>")).when(bare.startswith("{"), F.array(F.from_json(bare, TRIPLE)))
+    return F.coalesce(whole, loose_json_list(reply))
+
+
+def triple_list(triples: Column) -> Column:
+    """Names, types and predicates of parsed triples, under either field name, empty where there is none; nulls in the list are passed over."""
+    word = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
+    return F.transform(F.filter(triples, lambda t: t.isNotNull()), lambda t: F.struct(
+        word(t["subject"]["name"], t["subject"]["text"]).alias("s_name"), word(t["subject"]["type"]).alias("s_type"), word(t["predicate"], t["relation"]).alias("predicate"),
+        word(t["object"]["name"], t["object"]["text"]).alias("o_name"), word(t["object"]["type"]).alias("o_type"),
+    ))
+
+
+def is_allowed(s_type: Column, predicate: Column, o_type: Column, types: list[str], predicates: list[str]) -> Column:
+    """Both types are allowed as they are and the predicate is when trimmed."""
+    return F.coalesce(F.trim(predicate).isin(predicates) & s_type.isin(types) & o_type.isin(types), F.lit(False))
+
+
+def is_evidenced(s_name: Column, s_type: Column, predicate: Column, o_name: Column, o_type: Column, quote: Column, types: list[str], predicates: list[str]) -> Column:
+    """Allowed, with both names and a quote that isn't blank."""
+    some = lambda x: F.coalesce(x, F.lit("")) != ""
+    return is_allowed(s_type, predicate, o_type, types, predicates) & some(s_name) & some(o_name) & some(F.trim(quote))
+
+
+def chunk_data(units: DataFrame, types: list[str], predicates: list[str]) -> DataFrame:
+    """units(sentence, page_no, i, triples array of s_name, s_type, predicate, o_name, o_type, quote) -> what a report's file holds: the context, its
+    allowed triples nested, page number, three-digit id and source; units without any are left out."""
+    kept = F.filter("triples", lambda t: is_allowed(t["s_type"], t["predicate"], t["o_type"], types, predicates))
+    nested = F.transform(kept, lambda t: F.struct(F.struct(t["s_name"].alias("name"), t["s_type"].alias("type")).alias("subject"), t["predicate"].alias("predicate"), F.struct(t["o_name"].alias("name"), t["o_type"].alias("type")).alias("object"), F.struct(t["quote"].alias("quote")).alias("evidence")))
+    meta = F.struct(F.col("page_no").alias("page_number"), F.lpad(F.col("i").cast("string"), 3, "0").alias("id"), F.lit("TEXT").alias("source"))
+    return units.select(F.col("sentence").alias("context"), nested.alias("triple"), meta.alias("metadata")).where(F.size("triple") > 0)
+
+
+def statement_text(s_name: Column, predicate: Column, o_name: Column) -> Column:
+    """The line that is embedded for a triple."""
+    return F.concat_ws(" ", s_name, predicate, o_name)
+
+
+def extraction_prompt(text: Column, types: list[str], predicates: list[str], several: bool) -> Column:
+    """What a model is asked about a sentence, or with ``several`` about a chunk of them: triples as a JSON array with a quote each."""
+    what = "these sentences" if several else "this sentence"
+    return F.concat(
+        F.lit(f"Extract threat-intelligence triples from {what}. Types: {', '.join(sorted(types))}. Predicates: {', '.join(sorted(predicates))}. Use only what the text says. "
+              'Answer with a JSON array of {"subject": {"name", "type"}, "predicate", "object": {"name", "type"}, "evidence": {"quote"}}, and [] if there is none.\nText: '), text,
+    )

@@ -102,3 +102,31 @@ def exact_quorum(rows: DataFrame, key: list[str], voter: str, m: int, distinct_v
     """Keys with at least m votes; a voter's repeats count once if asked for."""
     n = F.count_distinct(voter) if distinct_voters else F.count("*")
     return rows.groupBy(*key).agg(n.alias("votes")).where(F.col("votes") >= m)
+
+
+# Types of tag names, names of integer tags.
+TAG_TYPES = {"ORG": "identity", "LOC": "location", "TOOL": "tool", "MALWARE": "malware", "TECHNIQUE": "attack-pattern", "TACTIC": "tactic", "SECTOR": "identity"}
+TAG_NAMES = ("O", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-TOOL", "I-TOOL", "B-MALWARE", "I-MALWARE", "B-TECHNIQUE", "I-TECHNIQUE", "B-TACTIC", "I-TACTIC", "B-SECTOR", "I-SECTOR")
+# End of fixed values.
+
+
+def tag_type(tag: Column) -> Column:
+    """Entity type of a B- or I- tag by its name; null for others."""
+    return X.lookup(F.regexp_extract(F.upper(F.coalesce(tag, F.lit("O"))), "^[BI]-(.+)$", 1), TAG_TYPES, F.lit(None).cast("string"))
+
+
+def named_tags(tags: Column, names: tuple[str, ...] = TAG_NAMES) -> Column:
+    """Integer tags as names, unknown ones as O."""
+    return F.transform(tags, lambda t: F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), F.when(t >= 0, t.cast("int"))), F.lit("O")))
+
+
+def checked_tags(tags: Column) -> Column:
+    """Tags if all are O or B-/I- and letters, else null; null for none."""
+    return F.when((F.size(tags) > 0) & F.forall(tags, lambda t: F.coalesce((t == "O") | t.rlike("^[BI]-[A-Za-z]+$"), F.lit(False))), tags)
+
+
+def plain_entities(tokens: Column, codes: Column) -> Column:
+    """Spans of codes 1 (begins) and 2 (goes on): array of (text, start, end), end exclusive. A 2 without a span before it is none."""
+    begins = F.filter(F.transform(codes, lambda c, i: F.when(c == 1, i)), lambda i: i.isNotNull())
+    last = lambda i: F.aggregate(F.sequence(i + 1, F.greatest(F.size(codes) - 1, i + 1)), F.struct(i.alias("end"), F.lit(True).alias("on")), lambda a, k: F.struct(F.when(a["on"] & F.coalesce(F.get(codes, k) == 2, F.lit(False)), k).otherwise(a["end"]).alias("end"), (a["on"] & F.coalesce(F.get(codes, k) == 2, F.lit(False))).alias("on")))["end"]
+    return F.transform(begins, lambda i: F.struct(F.array_join(F.slice(tokens, i + 1, last(i) - i + 1), " ").alias("text"), i.alias("start"), (last(i) + 1).alias("end")))

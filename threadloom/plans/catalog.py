@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import assembling, entities, evaluation, explanations, extraction, graphs, inference, pooling, retrieval, sets, texts, units, vectors
+from threadloom.plans import assembling, entities, evaluation, experimenting, explanations, extraction, graphs, inference, pooling, retrieval, sets, texts, units, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (assembling, entities, evaluation, explanations, extraction, graphs, inference, pooling, retrieval, sets, texts, units, vectors):
+for _module in (assembling, entities, evaluation, experimenting, explanations, extraction, graphs, inference, pooling, retrieval, sets, texts, units, vectors):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.sources.config import LOADERS
+
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One object a line; malformed lines are dropped."""
@@ -121,3 +123,6 @@ def cached_scores(units: DataFrame, cache: DataFrame, score) -> tuple[DataFrame,
     missing = keyed.select("key", "text").distinct().join(cache.select("key"), "key", "left_anti")
     new = score(missing)
     return keyed.join(cache.select("key", "value").union(new.select("key", "value")), "key", "left").drop("key"), new
+
+
+LOADERS.update({"token-tags": bio, "json-ladder": json_ladder, "json-lines": json_lines, "typed-csv": typed_csv, "documents": documents, "bundle": stix_objects})
