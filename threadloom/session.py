@@ -41,10 +41,18 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> str:
+    """Has Hadoop delete a path that is there when the driver's JVM ends: results that are still to be read may need it until then."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and what follows computes it once."""
+    """df written to the shared folder and read again: lineage ends there, and what follows computes it once. Deleted when the driver ends."""
     path = f"{folder or scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
