@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 #: Up to here the two libraries read Unicode classes alike (checked over all these characters); other texts take the slower one.
 _FAR = re.compile(r"[^\x00-ɏ]")
@@ -32,19 +33,35 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import json
+
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.named = Tokenizer.from_file(path)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        self.special = {t["content"] for t in held["added_tokens"]}
         letters = _byte_letters()
-        self.vocabulary = {token: i for token, i in self.whole.get_vocab().items() if token not in self.special}
+        self.vocabulary = {token: i for token, i in held["model"]["vocab"].items() if token not in self.special}
         ranks = {bytes(letters[c] for c in token): i for token, i in self.vocabulary.items()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def named(self):
+        """The library's encoder, in which strings of special tokens name them; loaded where a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str | None, special: bool = False) -> list[int]:
         if not text:
             return []
