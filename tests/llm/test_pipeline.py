@@ -64,3 +64,28 @@ def test_run_is_all_stages(spark, folder):
 def test_one_query_per_operator():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES)
     assert names == list(range(1, 11))
+
+
+def through(spark, docs, path, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, path).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
+
+
+def test_odd_tables_pass_all_stages(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rnd = random.Random(7)
+    long = " ".join(f"w{rnd.randint(0, 10**6)}" + "." * (k % 12 == 11) for k in range(60_000)) + " token=abcdefg1"
+    rows = [(1, long, "en", "s", len(long)), (None, prose(rnd), None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, prose(rnd), "en", "s", 1)]
+    rows.append((6, rows[4][1], "en", "s", 1))
+    docs = spark.createDataFrame(rows, kinds).withColumns({c: F.lit("x") for c in ("fp", "node", "blob_id", "spans", "_id", "_node", "n_words", "kept", "limits", "_row2", "cuts")})
+    path = str(tmp_path / "empty-benchmark")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    out = through(spark, docs, path, str(tmp_path / "a"))
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {1, None, 5}
+    before = spark.read.parquet(f"{tmp_path}/a/secret_scan")
+    assert before.columns == docs.columns and before.where("doc_id = 1").first().text == long.replace("token=abcdefg1", "[assign]")
+    assert through(spark, docs.limit(0), path, str(tmp_path / "b")).collect() == []

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import forget_at_exit
+
 #: White space that separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and any executor can read it again."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and any executor can read it again. Deleted when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

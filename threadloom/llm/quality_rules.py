@@ -51,7 +51,7 @@ def _repeat_words(words: Column) -> Column:
 
 def rule_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and the statistics of each whole ``text``: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_lines, n_capitals (A-Z), base_failed."""
+    n_repeat_words, n_lines, n_capitals (A-Z), n_distinct (words), base_failed. What a caller doesn't select isn't computed."""
     text = text_of()
     n = lambda c: F.length(c).cast("long")
     found = docs.select(
@@ -67,6 +67,7 @@ def rule_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_words")).alias("n_repeat_words"),
+        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
     )
     return found.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -141,7 +142,7 @@ def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """A row per document row: doc_id, lang, source, statistics, failed_rules and kept."""
-    stats = materialise(rule_stats(docs, ["doc_id", "lang", "source"]), "quality-stats")
+    stats = materialise(rule_stats(docs, ["doc_id", "lang", "source"]).drop("n_distinct"), "quality-stats")
     return judge(stats, checked_broadcast(materialise(thresholds(stats, prior), "quality-limits")))
 
 
@@ -149,6 +150,6 @@ def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The documents that pass, with all their columns. The statistics are written beside the rows once, since counting again
     costs far more than reading; texts are not shuffled unless there are more sources than a broadcast may hold."""
     rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    stats = materialise(rule_stats(rows, ["_row"]), "quality-rows").withColumns({"lang": F.col("_row.lang"), "source": F.col("_row.source")})
+    stats = materialise(rule_stats(rows, ["_row"]).drop("n_distinct"), "quality-rows").withColumns({"lang": F.col("_row.lang"), "source": F.col("_row.source")})
     limits = materialise(thresholds(stats.drop("_row"), prior), "quality-limits")
     return judge(stats, checked_broadcast(limits)).where("kept").select("_row.*")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import checked_broadcast, let, materialise, shared_dir, text_of, with_facts
+from threadloom.session import forget_at_exit
 
 # Kinds in their sort order, with the literals (lower case) of which one must occur, the pattern,
 # the group that is measured and its least length.
@@ -116,6 +117,8 @@ def findings(docs: DataFrame, ledger_path: str | None = None, rule_version: str
     """(blob_id, n, spans) of the blobs of docs, n rows of which hold each; without a path, from a fresh ledger in the shared folder."""
     path = ledger_path or f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
     ledger = update_ledger(docs, path, rule_version)
+    if not ledger_path:
+        forget_at_exit(docs.sparkSession, path)
     held = versions(docs).groupBy("blob_id").agg(F.count("*").alias("n"))
     # two runs that overlapped may both have appended a blob
     return materialise(held.join(ledger, "blob_id").groupBy("blob_id").agg(F.first("n").alias("n"), F.first("spans").alias("spans")), "secret-findings")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise, text_of, words_of
+from threadloom.llm.common import materialise, text_of
 from threadloom.llm.quality_rules import rule_stats
 from threadloom.session import ship
 
@@ -35,11 +35,10 @@ TRAIN_ROWS, BITS, EPOCHS, SMOOTH, BATCH = 6000, 14, 12, 1.0, 16
 
 
 def more_stats(text: Column) -> dict[str, Column]:
-    """What the labellers count beside rule_stats: words that end a sentence, letters, distinct words, words of nothing but letters."""
+    """What the labellers count beside rule_stats: words that end a sentence, letters, words of nothing but letters."""
     return {
         "n_ends": F.regexp_count(text, F.lit(r"[.!?](?![^\x20\x09-\x0D])")).cast("long"),
         "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long"),
-        "n_distinct": F.size(F.array_distinct(words_of(text))).cast("long"),
         "n_plain": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{L}++[.,!?;:]?+(?![^\x20\x09-\x0D])")).cast("long"),
     }
 
