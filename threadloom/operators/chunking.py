@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.grouped import per_group
+
 
 def page_text(items: DataFrame) -> DataFrame:
     """items(page, place, text) -> the text of each page, in order."""
@@ -124,15 +126,12 @@ def chunked(sentences: DataFrame, by: str, least: float = 0.25, most_words: int
     """sentences(by, k, sentence, vec) -> (by, chunk, first, last, text)."""
     kind = dict(sentences.dtypes)[by]
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("k")
-        text, size = list(pdf["sentence"]), [len(s.split()) for s in pdf["sentence"]]
-        spans = chunk_spans(list(pdf["vec"]), size, least, most_words, ahead, overlap_words)
-        return pd.DataFrame([(pdf[by].iloc[0], c, a, b - 1, " ".join(text[a:b])) for c, (a, b) in enumerate(spans)], columns=[by, "chunk", "first", "last", "text"])
+    def run(rows: list[dict]) -> list[tuple]:
+        text = [r["sentence"] for r in rows]
+        spans = chunk_spans([r["vec"] for r in rows], [len(s.split()) for s in text], least, most_words, ahead, overlap_words)
+        return [(rows[0][by], c, a, b - 1, " ".join(text[a:b])) for c, (a, b) in enumerate(spans)]
 
-    return sentences.select(by, "k", "sentence", "vec").groupBy(by).applyInPandas(run, f"{by} {kind}, chunk int, first int, last int, text string")
+    return per_group(sentences.select(by, "k", "sentence", "vec"), [by], ["k"], run, f"`{by}` {kind}, chunk int, first int, last int, text string")
 
 
 def chunked_texts(docs: DataFrame, by: str, embed: Callable | None = None, least: float = 0.25, most_words: int = 380, ahead: int = 6, overlap_words: int = 120) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Resampling and rank kernels on the values of one group: NumPy on an array, grouped by applyInPandas."""
+"""Resampling and rank kernels on the values of one group: NumPy on an array, a group at a time."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 
+from threadloom.operators.grouped import per_group
+
 _NORMAL = NormalDist()
 
 
@@ -70,11 +72,9 @@ def paired_tests(diffs: DataFrame, by: str, replicates: int = 1999) -> DataFrame
     """diffs(by, d) -> signed-rank test and BCa interval per group; a group's values are one array, so groups must fit a task."""
     kind = dict(diffs.dtypes)[by]
 
-    def run(pdf):
-        import pandas as pd
-
-        d = pdf["d"].dropna().sort_values().to_numpy()
+    def run(rows: list[dict]) -> list[tuple]:
+        d = [r["d"] for r in rows]
         (t, p), (low, high) = wilcoxon(d), bca(d, replicates=replicates)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(d)], "statistic": [t], "p": [p], "low": [low], "high": [high]})
+        return [(rows[0][by], len(d), t, p, low, high)]
 
-    return diffs.select(by, "d").groupBy(by).applyInPandas(run, f"{by} {kind}, n long, statistic double, p double, low double, high double")
+    return per_group(diffs.select(by, "d").where("d is not null"), [by], ["d"], run, f"`{by}` {kind}, n long, statistic double, p double, low double, high double")

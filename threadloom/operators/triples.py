@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import lookup, sentences
+from threadloom.operators.grouped import per_group
 
 # ---- fixed values: the ontology ----
 TYPES = (
@@ -156,15 +157,11 @@ def fuzzy_consensus(votes: DataFrame, unit: str, m: int = 2, tau: float = 0.9, t
     exact = exact.select(*key, "s_key", "o_key", "votes", "seq", "first_quote", F.col("best.s_name").alias("s_name"), F.col("best.o_name").alias("o_name"), F.col("best.quote").alias("quote"))
     kinds = dict(exact.dtypes)
 
-    def merge(pdf):
-        import pandas as pd
+    def merge(rows: list[dict]) -> list[tuple]:
+        return [(*[r[k] for k in key], r["s_name"], r["o_name"], r["quote"], n) for r, n in consensus(rows, m, tau)]
 
-        found = consensus(pdf.sort_values("seq").to_dict("records"), m, tau)
-        out = [[r[k] for k in key] + [r["s_name"], r["o_name"], r["quote"], n] for r, n in found]
-        return pd.DataFrame(out, columns=[*key, "s_name", "o_name", "quote", "votes"])
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", s_name string, o_name string, quote string, votes long"
-    return exact.groupBy(*key).applyInPandas(merge, schema)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", s_name string, o_name string, quote string, votes long"
+    return per_group(exact, key, ["seq"], merge, schema)
 
 
 def viterbi(kinds: list[str], confidence: list[float], alpha: float = 0.1) -> list[str]:
@@ -195,11 +192,11 @@ def smoothed(labels: DataFrame, by: str, order: str) -> DataFrame:
     """labels(by, order, kind, confidence) with the smoothed kind of each place, one context at a time."""
     types = dict(labels.dtypes)
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        return pdf.assign(smooth=viterbi(list(pdf["kind"]), list(pdf["confidence"])))[[by, order, "kind", "smooth"]]
+    def run(rows: list[dict]) -> list[tuple]:
+        smooth = viterbi([r["kind"] for r in rows], [r["confidence"] for r in rows])
+        return [(r[by], r[order], r["kind"], x) for r, x in zip(rows, smooth, strict=True)]
 
-    return labels.select(by, order, "kind", "confidence").groupBy(by).applyInPandas(run, f"{by} {types[by]}, {order} {types[order]}, kind string, smooth string")
+    return per_group(labels.select(by, order, "kind", "confidence"), [by], [order], run, f"`{by}` {types[by]}, `{order}` {types[order]}, kind string, smooth string")
 
 
 def majority_labels(mentions: DataFrame, contexts: DataFrame) -> DataFrame:
