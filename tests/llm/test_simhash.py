@@ -153,3 +153,17 @@ def test_a_group_of_texts_that_are_not_quite_similar_sends_no_pairs(spark, make)
     likely = S._likely(S._mixed(cells), finer, best=False).count()
     assert together > 10_000 and likely <= coarse < together and likely < together / 20
     assert S._likely(S._mixed(cells), finer, best=True).count() <= 300
+
+
+def test_the_same_result_without_broadcast(make, monkeypatch):
+    from threadloom.llm import similar as S
+
+    rnd, rows = random.Random(21), []
+    for n in range(25):
+        w = [f"w{rnd.randint(0, 5000)}" for _ in range(100)]
+        copy = w[:]
+        copy[50] = "other"
+        rows += [(3 * n, " ".join(w)), (3 * n + 1, " ".join(copy)), (3 * n + 2, " ".join(copy))]
+    want = {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()}
+    monkeypatch.setattr(S, "checked_broadcast", lambda df, n=0: df)
+    assert {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()} == want == {3 * n for n in range(25)}
