@@ -127,7 +127,7 @@ def _explained(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     attack = F.when(k % 10 == 0, F.concat(F.lit("TA"), F.lpad((k % 30).cast("string"), 4, "0"))).when(k % 10 == 1, F.concat(F.lit("S"), F.lpad((k % 70).cast("string"), 4, "0"))).when(k % 2 == 0, F.concat(F.lit("T1"), F.lpad((k % 40).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("T1"), F.lpad((k % 40).cast("string"), 3, "0"), F.lit(".00"), (k % 3).cast("string")))
     candidate = F.concat(attack, F.lit(" — "), F.initcap("event_type"), F.lit(" kind: seen by users"))
-    return e.select(F.col("user_id").alias("query"), F.concat(F.lit("User of the kind "), F.col("user_id").cast("string")).alias("text"), F.concat(attack, F.lit("#"), k.cast("string")).alias("item"), candidate.alias("candidate"), F.round(F.col("value") / 500, 2).alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+    return e.select(F.col("user_id").alias("query"), F.concat(F.lit("User of the kind "), F.col("user_id").cast("string")).alias("text"), F.concat(attack, F.lit("#"), k.cast("string")).alias("item"), candidate.alias("candidate"), (F.floor(F.col("value") / 5) / 100).alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label"))
 
 
 def explanation_records(spark, sf_dir):
@@ -213,7 +213,7 @@ _TID = "'T1' || lpad((conv_id % 40)::VARCHAR, 3, '0')"
 _M = f"""WITH c AS (SELECT conv_id AS k, conv_id * 1000 + turn AS seq, CASE WHEN conv_id % 9 = 0 THEN 'foreign' WHEN conv_id % 9 = 1 THEN 'group' WHEN conv_id % 40 % 4 <> 0 THEN 'kept' WHEN conv_id % 40 % 8 = 0 THEN 'mapped' ELSE 'unresolvable' END AS state, {_TID} AS raw,
     'm' || (turn % 3) AS mention, trim(regexp_replace(role || ' m' || (turn % 3) || '  of  ' || (conv_id % 50), '\\s+', ' ', 'g'), ' ') AS base, 'd' || (conv_id % 7) AS document FROM conversations),
     q AS (SELECT document, lower(base) AS base_norm, arg_min(base, seq) AS base, list_sort(list(DISTINCT mention)) AS mentions, list_sort(list(DISTINCT CASE WHEN state = 'kept' THEN raw ELSE 'T1001' END)) AS gold, list_sort(list(DISTINCT raw)) AS raws, count(*) AS n FROM c WHERE state IN ('kept', 'mapped') GROUP BY ALL)"""
-_E = """WITH e AS (SELECT user_id AS query, event_id AS k, event_type, round(value / 500, 2) AS score, (event_type = 'purchase')::INT AS label, CASE WHEN event_id % 10 = 0 THEN 'TA' || lpad((event_id % 30)::VARCHAR, 4, '0') WHEN event_id % 10 = 1 THEN 'S' || lpad((event_id % 70)::VARCHAR, 4, '0') WHEN event_id % 2 = 0 THEN 'T1' || lpad((event_id % 40)::VARCHAR, 3, '0') ELSE 'T1' || lpad((event_id % 40)::VARCHAR, 3, '0') || '.00' || (event_id % 3) END AS attack FROM events),
+_E = """WITH e AS (SELECT user_id AS query, event_id AS k, event_type, floor(value / 5) / 100 AS score, (event_type = 'purchase')::INT AS label, CASE WHEN event_id % 10 = 0 THEN 'TA' || lpad((event_id % 30)::VARCHAR, 4, '0') WHEN event_id % 10 = 1 THEN 'S' || lpad((event_id % 70)::VARCHAR, 4, '0') WHEN event_id % 2 = 0 THEN 'T1' || lpad((event_id % 40)::VARCHAR, 3, '0') ELSE 'T1' || lpad((event_id % 40)::VARCHAR, 3, '0') || '.00' || (event_id % 3) END AS attack FROM events),
     r AS (SELECT *, attack || '#' || k AS item, row_number() OVER (PARTITION BY query ORDER BY score DESC, attack || '#' || k) AS rank FROM e),
     h AS (SELECT DISTINCT attack AS id, CASE WHEN attack LIKE 'TA%' THEN 'tactic' WHEN attack LIKE 'S%' THEN 'software' WHEN attack LIKE '%.%' THEN 'sub-technique' ELSE 'technique' END AS type, CASE WHEN attack LIKE 'T1%.%' THEN split_part(attack, '.', 1) END AS parent FROM e),
     f AS (SELECT parent AS id, list(id ORDER BY id) AS children FROM h WHERE parent IN (SELECT id FROM h) GROUP BY 1)"""
