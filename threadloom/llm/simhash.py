@@ -61,14 +61,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
+def signed_fingerprint(text: str | None) -> int:
+    x = fingerprint(text)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and the signed fingerprint of each text, in ``_fingerprint``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            found = [fingerprint(t.as_py()) for t in batch.column(at)]
-            signed = pa.array([x - (1 << 64) if x >> 63 else x for x in found], pa.int64())
+            signed = pa.array([signed_fingerprint(t.as_py()) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, signed], names=[*batch.schema.names, FINGERPRINT])
 
     ship(docs.sparkSession)
@@ -184,8 +188,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Links are those of ``near_duplicates`` and those of texts whose 5-word shingles are similar (``similar``). Keys of texts are
     computed again rather than stored with texts.
     """
-    rows = with_fingerprint(docs.select("doc_id", "text")).withColumnRenamed(FINGERPRINT, "fp")
-    rows = materialise(similar.with_keys(rows, signed=True), "fingerprints")
+    rows = materialise(similar.with_keys(docs.select("doc_id", "text"), signed=True, more=("fp", signed_fingerprint)), "fingerprints")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     leads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
     same = nodes.join(leads, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
