@@ -30,3 +30,7 @@ ITEMS["text"] = [ITEMS["text"][(k // 4 + k) % 4] for k in range(48)]
 
 def test_actor_spans_of_items_that_hold_aliases(spark, tmp_path):
     check(spark, tmp_path, "actor_spans", benchmark=ITEMS)
+
+
+def test_edit_manifest_of_items_that_hold_aliases(spark, tmp_path):
+    check(spark, tmp_path, "edit_manifest", benchmark=ITEMS)
