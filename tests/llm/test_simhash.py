@@ -167,3 +167,31 @@ def test_the_same_result_without_broadcast(make, monkeypatch):
     want = {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()}
     monkeypatch.setattr(S, "checked_broadcast", lambda df, n=0: df)
     assert {r.doc_id for r in H.drop_near_duplicates(make(rows)).collect()} == want == {3 * n for n in range(25)}
+
+
+def test_a_bucket_makes_one_pair_for_each_component():
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.llm import similar
+
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 256, similar.BANDS * similar.ROWS, dtype=np.uint8)
+    values = np.tile(base, (90, 1))
+    for row in values:  # near copies, some too far from the others
+        at = rnd.choice(len(base), rnd.integers(0, 60), replace=False)
+        row[at] = rnd.integers(0, 256, len(at))
+    side, root = np.arange(90) % 2, np.arange(90) % 7 + 1000 * (np.arange(90) > 70) * np.arange(90)
+    for sides in (np.zeros(90, int), side):
+        columns = [np.zeros(90, int), np.zeros(90, int), np.zeros(90, int), sides.max() + np.zeros(90, int), sides, np.arange(90), root, [v.tobytes() for v in values], [None] * 90]
+        names = ["band", "bucket", "low", "high", "side", "node", "root", "sketch", "finer"]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        got = [(a, b) for out in similar._pairs(True)(iter([batch])) for a, b in zip(*[c.to_pylist() for c in out.columns])]
+        agree = lambda a, b: int((values[a] == values[b]).sum())
+        may = {(a, b) for a in range(90) for b in range(a + 1, 90) if root[a] != root[b] and (not sides.any() or sides[a] != sides[b]) and agree(a, b) >= similar.AGREE}
+        assert len(got) == len(set(got)) and set(got) <= may
+        components = {(sides[k], root[k]) for p in may for k in p}
+        assert len(got) <= len(components)
+        for own, r in components:  # the likest pair of each is there, or one as like
+            mine = lambda p: any(root[k] == r and sides[k] == own for k in p)
+            assert max(agree(*p) for p in may if mine(p)) == max((agree(*p) for p in got if mine(p)), default=-1)
